@@ -27,6 +27,12 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(docs).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
+def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from percola.llm.near_dedup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), percent=85)
+
+
 OP2_SQL = r"""
 WITH sized AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
@@ -64,6 +70,7 @@ SELECT doc_id, size, source_size, target, copies * size AS taken, source, copies
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mixing": op2_mixing,
     "op8_sharding": op8_sharding,
+    "op10_near_dedup": op10_near_dedup,
 }
 SQL: dict[str, str] = {"op2_mixing": OP2_SQL}
 

@@ -49,6 +49,21 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[off[0] : off[-1]], off - off[0]
 
 
+def fixed(column: pa.Array, width: int, dtype: type) -> np.ndarray:
+    """Rows of a binary column whose values, none null, are all `width` bytes."""
+    column = column.cast(pa.large_binary())
+    _, offsets, data = column.buffers()
+    off = np.frombuffer(offsets, np.int64, len(column) + 1, column.offset * 8)
+    flat = np.frombuffer(data, np.uint8)[off[0] : off[-1]] if len(column) else np.zeros(0, np.uint8)
+    return flat.reshape(-1, width).view(dtype)
+
+
+def binary(rows: np.ndarray) -> pa.Array:
+    """The inverse of fixed()."""
+    flat = np.ascontiguousarray(rows).view(np.uint8).reshape(len(rows), -1)
+    return pa.Array.from_buffers(pa.binary(flat.shape[1]), len(rows), [None, pa.py_buffer(flat.reshape(-1))]).cast(pa.binary())
+
+
 def slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut a batch into runs of rows of about `limit` text bytes; one longer text makes a run of its own."""
     if not batch.num_rows:
