@@ -44,6 +44,28 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def tokenizer_file(name: str = "byte_bpe_50k.json") -> str:
+    """The content of a public tokenizer's file, read on the driver."""
+    import public_tokenizers
+
+    with open(public_tokenizers.path(name), encoding="utf-8") as f:
+        return f.read()
+
+
+def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from percola.llm.token_store import read_digests, write_store
+    from percola.session import Staged
+
+    store = write_store(table(spark, sf_dir, "documents"), Staged(spark).path("token-store"), tokenizer_file())
+    return read_digests(store)
+
+
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from percola.llm.token_counts import token_counts
+
+    return token_counts(table(spark, sf_dir, "documents"), tokenizer_file())
+
+
 OP2_SQL = r"""
 WITH sized AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
@@ -80,7 +102,9 @@ SELECT doc_id, size, source_size, target, copies * size AS taken, source, copies
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mixing": op2_mixing,
+    "op4_token_store": op4_token_store,
     "op5_decontamination": op5_decontamination,
+    "op6_token_counts": op6_token_counts,
     "op8_sharding": op8_sharding,
     "op10_near_dedup": op10_near_dedup,
 }
