@@ -27,6 +27,13 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(docs).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from percola.llm.line_labels import fit_field, quality_rules
+
+    docs = table(spark, sf_dir, "documents")
+    return quality_rules(docs, fit_field(docs, table(spark, sf_dir, "labels")))
+
+
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from percola.llm.near_dedup import near_duplicates
 
@@ -114,6 +121,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_token_counts": op6_token_counts,
     "op7_language": op7_language,
     "op8_sharding": op8_sharding,
+    "op9_quality_rules": op9_quality_rules,
     "op10_near_dedup": op10_near_dedup,
 }
 SQL: dict[str, str] = {"op2_mixing": OP2_SQL}
