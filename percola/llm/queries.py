@@ -51,6 +51,12 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from percola.llm.quality import quality_scores
+
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def tokenizer_file(name: str = "byte_bpe_50k.json") -> str:
     """The content of a public tokenizer's file, read on the driver."""
     import public_tokenizers
@@ -116,6 +122,7 @@ SELECT doc_id, size, source_size, target, copies * size AS taken, source, copies
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mixing": op2_mixing,
+    "op3_quality": op3_quality,
     "op4_token_store": op4_token_store,
     "op5_decontamination": op5_decontamination,
     "op6_token_counts": op6_token_counts,
