@@ -139,7 +139,7 @@ class Index:
         return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
-def _scan(index):
+def _scan(index, with_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ix: Index = pickle.loads(index.value)
         for batch in batches:
@@ -155,12 +155,12 @@ def _scan(index):
                     own = doc == d
                     spans[d] = np.unique(np.stack([a[own], b[own]], 1) - first[d], axis=0).ravel().tolist()
                     items[d] = sorted({ix.names[i] for i in np.unique(item[own])})
+                carried = [name for name in part.schema.names if with_text or name != "text"]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        *[c for c, name in zip(part.columns, part.schema.names, strict=True) if name != "text"],
-                        pa.array(np.diff(first)), pa.array(spans, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string())),
+                        *[part.column(name) for name in carried], pa.array(np.diff(first)), pa.array(spans, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string())),
                     ],
-                    [*[name for name in part.schema.names if name != "text"], "n_words", "spans", "items"],
+                    [*carried, "n_words", "spans", "items"],
                 )
 
     return run
@@ -182,9 +182,9 @@ def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[str,
 
 
 def contamination(
-    docs: DataFrame, benchmark: DataFrame, window: int = 13, percent: int = 5, block_bytes: int = BLOCK_BYTES, key: str = "doc_id"
+    docs: DataFrame, benchmark: DataFrame, window: int = 13, percent: int = 5, block_bytes: int = BLOCK_BYTES, key: str = "doc_id", keep: list[str] | None = None
 ) -> DataFrame:
-    """(key, n_words, n_hit, spans, item_ids, contaminated) for each row of docs.
+    """(columns keep, n_words, n_hit, spans, item_ids, contaminated) for each row of docs; keep is the key by default.
 
     Words are runs of [0-9a-z] and non-ASCII characters after A-Z is lower-cased. A word inside any
     occurrence of a window of `window` item words (an item of fewer words: all of them) is hit; spans are
@@ -203,22 +203,25 @@ def contamination(
     if window < GRAM:
         raise ValueError(f"window must be at least {GRAM}")
     sc = docs.sparkSession.sparkContext
-    kind = docs.schema[key].dataType.simpleString()
-    schema = f"`{key}` {kind}, n_words long, spans array<long>, items array<string>"
-    passes = []
-    for items in _blocks(benchmark, block_bytes):
+    added = {"n_words", "n_hit", "spans", "items", "item_ids", "contaminated"}
+    keep = [key] if keep is None else [key, *[c for c in keep if c != key and c.lower() not in added]]
+    sent = docs.select(*keep, *(["text"] if "text" not in keep else []))
+
+    def scan(frame: DataFrame, items: list[tuple[str, str]]) -> DataFrame:
         index = sc.broadcast(pickle.dumps(Index(items, window, GRAM)))
-        passes.append(docs.select(key, "text").mapInArrow(_scan(index), schema))
-    if not passes:
-        index = sc.broadcast(pickle.dumps(Index([], window, GRAM)))
-        passes = [docs.select(key, "text").mapInArrow(_scan(index), schema)]
-    found = passes[0]
-    for other in passes[1:]:
-        hits = other.where(F.size("spans") > 0).groupBy(F.col(key).alias("_k"), F.col("n_words").alias("_n")).agg(
+        carried = [f for f in frame.schema if f.name != "text" or "text" in keep]
+        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in carried)
+        return frame.mapInArrow(_scan(index, "text" in keep), f"{schema}, n_words long, spans array<long>, items array<string>")
+
+    blocks = _blocks(benchmark, block_bytes)
+    found = scan(sent, next(blocks, []))
+    for items in blocks:
+        hits = scan(docs.select(F.col(key).alias("_k"), "text"), items)
+        hits = hits.where(F.size("spans") > 0).groupBy("_k", F.col("n_words").alias("_n")).agg(
             F.flatten(F.collect_list("spans")).alias("_s"), F.flatten(F.collect_list("items")).alias("_i")
         )
         found = found.join(hits, F.col(key).eqNullSafe(F.col("_k")) & (F.col("n_words") == F.col("_n")), "left").select(
-            key, "n_words",
+            *keep, "n_words",
             F.concat("spans", F.coalesce("_s", F.array().cast("array<long>"))).alias("spans"),
             F.concat("items", F.coalesce("_i", F.array().cast("array<string>"))).alias("items"),
         )
@@ -233,7 +236,7 @@ def contamination(
     )["n"]
     n_hit = F.when(F.size("spans") > 0, covered).otherwise(F.lit(0).cast("long"))
     return found.withColumn("n_hit", n_hit).select(
-        key, "n_words", "n_hit", "spans", F.array_sort(F.array_distinct("items")).alias("item_ids"),
+        *keep, "n_words", "n_hit", "spans", F.array_sort(F.array_distinct("items")).alias("item_ids"),
         ((F.col("n_hit") > 0) & (100 * F.col("n_hit") >= percent * F.col("n_words"))).alias("contaminated"),
     )
 

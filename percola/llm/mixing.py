@@ -104,14 +104,19 @@ def _left(left: DataFrame, right: DataFrame, *keys: str) -> DataFrame:
 def mix(docs: DataFrame, staged: Staged | None = None, **options) -> DataFrame:
     """The mixed corpus: each row of docs as often as its plan says, with docs' own columns.
 
-    Rows that share a doc_id (or have none) are told apart by source and size; rows alike in
-    all three take each other's copies in turn, so the number of emitted rows is the plan's.
+    Where doc_ids are unique, texts move once, to their plans. Otherwise rows that share a doc_id (or have
+    none) are told apart by source and size, and rows alike in all three take each other's copies in
+    turn, so the number of emitted rows is the plan's in either case.
     """
-    plan = mix_plan(docs, staged=staged, **options)
+    staged = staged or Staged(docs.sparkSession)
+    plan = staged.put(mix_plan(docs, staged=staged, **options), "plan")
+    repeat = F.explode(F.sequence(F.lit(1), F.col("_copies")))
+    taken = plan.where("copies > 0")
+    if not plan.groupBy("doc_id").count().where("count > 1 or doc_id is null").limit(1).count():
+        out = docs.join(taken.select("doc_id", F.col("copies").alias("_copies")), "doc_id")
+        return out.withColumn("_copy", repeat).select(*docs.columns)
     w = Window.partitionBy("doc_id", "source", "size")
-    plan = plan.select("doc_id", "source", "size", "copies", F.row_number().over(w.orderBy("copies")).alias("nth")).where("copies > 0")
-    names = docs.columns
-    inner = docs.select(F.struct(*names).alias("row"), F.col("doc_id"), F.col("source"), word_count(F.col("text")).alias("size"))
+    taken = plan.select("doc_id", "source", "size", F.col("copies").alias("_copies"), F.row_number().over(w.orderBy("copies")).alias("nth")).where("_copies > 0")
+    inner = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id"), F.col("source"), word_count(F.col("text")).alias("size"))
     inner = inner.withColumn("nth", F.row_number().over(w.orderBy(F.xxhash64("row"))))
-    out = _left(inner, plan, "doc_id", "source", "size", "nth")
-    return out.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
+    return _left(inner, taken, "doc_id", "source", "size", "nth").withColumn("_copy", repeat).select("row.*")

@@ -283,7 +283,7 @@ def _confirm(k: int, above: int, out_of: int):
 
 
 def near_duplicates(
-    docs: DataFrame, k: int = 5, percent: int = 80, staged: Staged | None = None
+    docs: DataFrame, k: int = 5, percent: int = 85, staged: Staged | None = None
 ) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), one row for each row of docs.
 
@@ -334,9 +334,11 @@ def near_duplicates(
     tasks = tasks.select("doc_id", "cluster", pair.alias("pair")).join(texts, "doc_id")
     tasks = tasks.repartition(F.col("cluster"), F.col("pair")).sortWithinPartitions("cluster", "pair")
     links = staged.put(tasks.mapInArrow(_confirm(k, percent, 100), "src long, dst long").where("src <> dst").distinct(), "links")
-    components = connected_components(links, staged=staged)
-
     # rows that repeat a doc_id with other sets tie those classes together
+    several = s.where("n > 0 and doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").select("doc_id")
+    ties = s.where("n > 0").join(several, "doc_id").join(classes, key).select(F.col("doc_id").alias("src"), F.col("rep").alias("dst"))
+    components = connected_components(links.union(ties), staged=staged)
+
     classes = classes.join(components, F.col("rep") == F.col("node"), "left").select(*key, F.coalesce("component", "rep").alias("component_id"))
     classes = staged.put(classes, "class-components")
     out = s.select("doc_id", *key).join(classes, key, "left")
@@ -347,3 +349,20 @@ def near_duplicates(
         F.when(F.col("doc_id").isNotNull(), own).alias("component_id"),
         F.coalesce(F.col("doc_id") == own, F.lit(True)).alias("kept"),
     )
+
+
+def drop_near_duplicates(docs: DataFrame, k: int = 5, percent: int = 85, staged: Staged | None = None) -> DataFrame:
+    """docs without the rows of documents that aren't the least of their component; one row of each doc_id stays.
+
+    Rows without a doc_id all stay. Of rows that repeat a doc_id, the one with the least hash stays.
+    """
+    staged = staged or Staged(docs.sparkSession)
+    found = staged.put(near_duplicates(docs, k, percent, staged), "decisions")
+    gone = found.where(~F.col("kept")).select("doc_id").distinct()
+    left = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    several = found.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    if not several.limit(1).count():
+        return left
+    whole = F.struct(*docs.columns)
+    one = left.join(several, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(whole, F.xxhash64(whole)).alias("row")).select("row.*")
+    return left.join(several, "doc_id", "left_anti").select(*docs.columns).unionByName(one)
