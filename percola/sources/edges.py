@@ -7,7 +7,6 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from percola.operators.graph import canonical_edges, endpoints
 
@@ -87,12 +86,12 @@ def write_node_mapping(mapping: DataFrame, path: str) -> None:
 
 
 RESULT_SCHEMAS = {
-    "node_mapping": T.StructType.fromDDL("new_id bigint, original_id string, lat double, lon double"),
-    "raw": T.StructType.fromDDL("label string, protocol string, m int, stochastic_id int, removed int, p double, s1_over_n double, s2_over_n double"),
+    "node_mapping": ("new_id bigint, original_id string, lat double, lon double"),
+    "raw": ("label string, protocol string, m int, stochastic_id int, removed int, p double, s1_over_n double, s2_over_n double"),
 }
 
 
-def read_table(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
+def read_table(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
     """A CSV table with a header; empty fields are null."""
     reader = spark.read.option("header", True).option("nanValue", "")
     return (reader.schema(schema) if schema is not None else reader.option("inferSchema", True)).csv(path)
