@@ -18,6 +18,11 @@ QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
 
+def _plain_m(df: DataFrame) -> DataFrame:
+    """0 where there is no m: results compare alike whatever stands for a missing integer."""
+    return df.withColumn("m", F.coalesce("m", F.lit(0)))
+
+
 def query(sql: str | None = None) -> Callable[[Query], Query]:
     def register(f: Query) -> Query:
         QUERIES[f.__name__] = f
@@ -99,9 +104,9 @@ def latlon_sanity(spark: SparkSession, sf: str) -> DataFrame:
     return statistics.coordinate_check(v.places(spark, sf).withColumn("lat", lat))
 
 
-@query(with_views("SELECT label, protocol, m, stochastic_id, removed, p FROM c WHERE removed % 3 = 0 OR removed = 20", c=v.CURVES_SQL))
+@query(with_views("SELECT label, protocol, coalesce(m, 0) AS m, stochastic_id, removed, p FROM c WHERE removed % 3 = 0 OR removed = 20", c=v.CURVES_SQL))
 def curve_subsample(spark: SparkSession, sf: str) -> DataFrame:
-    return curves.subsample(v.synthetic_curves(spark, sf), 3, F.lit(20)).select("label", "protocol", "m", "stochastic_id", "removed", "p")
+    return _plain_m(curves.subsample(v.synthetic_curves(spark, sf), 3, F.lit(20)).select("label", "protocol", "m", "stochastic_id", "removed", "p"))
 
 
 @query("SELECT count(*) - count(DISTINCT (l_orderkey, l_linenumber)) AS n_duplicates FROM lineitem")
@@ -284,6 +289,7 @@ METRIC_NAMES = ["auc_s1", "auc_s2", *[curves.threshold_name(t) for t in curves.T
 
 
 def _rounded(df: DataFrame, digits: int = 7) -> DataFrame:
+    df = _plain_m(df) if "m" in df.columns else df
     return df.select(*[F.round(f.name, digits).alias(f.name) if f.dataType.typeName() == "double" else F.col(f.name) for f in df.schema])
 
 
@@ -292,7 +298,7 @@ def _metrics(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _metric_sql(*names: str) -> str:
-    return with_views("SELECT label, protocol, m, stochastic_id, " + ", ".join(f"round({n}, 7) AS {n}" for n in names) + " FROM mt", c=v.CURVES_SQL, lg=LAGGED, mt=METRICS)
+    return with_views("SELECT label, protocol, coalesce(m, 0) AS m, stochastic_id, " + ", ".join(f"round({n}, 7) AS {n}" for n in names) + " FROM mt", c=v.CURVES_SQL, lg=LAGGED, mt=METRICS)
 
 
 KEYS = ["label", "protocol", "m", "stochastic_id"]
@@ -323,7 +329,7 @@ def _sem_sql(c: str) -> str:
 
 
 @query(with_views(
-    "SELECT label, protocol, m, " + ", ".join(f"round(avg({n}), 6) AS mean_{n}, round(stddev_samp({n}), 6) AS sd_{n}" + (f", round({_sem_sql(n)}, 6) AS sem_{n}" if n.startswith("auc_") else "") for n in METRIC_NAMES) + ", count(*) AS n FROM mt GROUP BY label, protocol, m",
+    "SELECT label, protocol, coalesce(m, 0) AS m, " + ", ".join(f"round(avg({n}), 6) AS mean_{n}, round(stddev_samp({n}), 6) AS sd_{n}" + (f", round({_sem_sql(n)}, 6) AS sem_{n}" if n.startswith("auc_") else "") for n in METRIC_NAMES) + ", count(*) AS n FROM mt GROUP BY label, protocol, mt.m",
     c=v.CURVES_SQL, lg=LAGGED, mt=METRICS,
 ))
 def metrics_summary(spark: SparkSession, sf: str) -> DataFrame:
@@ -331,7 +337,7 @@ def metrics_summary(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(with_views(
-    "SELECT label, protocol, m, removed, min(p) AS p, " + ", ".join(f"round(avg({c}), 6) AS mean_{c}, round(stddev_samp({c}), 6) AS sd_{c}, round({_sem_sql(c)}, 6) AS sem_{c}" for c in ("s1_over_n", "s2_over_n")) + ", count(*) AS n FROM c GROUP BY label, protocol, m, removed",
+    "SELECT label, protocol, coalesce(m, 0) AS m, removed, min(p) AS p, " + ", ".join(f"round(avg({c}), 6) AS mean_{c}, round(stddev_samp({c}), 6) AS sd_{c}, round({_sem_sql(c)}, 6) AS sem_{c}" for c in ("s1_over_n", "s2_over_n")) + ", count(*) AS n FROM c GROUP BY label, protocol, c.m, removed",
     c=v.CURVES_SQL,
 ))
 def curve_summary(spark: SparkSession, sf: str) -> DataFrame:
@@ -345,7 +351,7 @@ def _scores(spark: SparkSession, sf: str) -> DataFrame:
     return curves.node_scores(v.hash_orders(spark, sf), v.table(spark, sf, "supplier").count())
 
 
-@query(with_views("SELECT label, protocol, m, node, " + ", ".join(f"round({c}, 7) AS {c}" for c in ("mean_removal_rank", "sd_removal_rank", "mean_removal_fraction", "sd_removal_fraction")) + ", n_replicates FROM s", o=v.ORDERS_SQL, s=SCORES))
+@query(with_views("SELECT label, protocol, coalesce(m, 0) AS m, node, " + ", ".join(f"round({c}, 7) AS {c}" for c in ("mean_removal_rank", "sd_removal_rank", "mean_removal_fraction", "sd_removal_fraction")) + ", n_replicates FROM s", o=v.ORDERS_SQL, s=SCORES))
 def node_scores_long(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(_scores(spark, sf))
 
@@ -575,7 +581,7 @@ def topology_sweep(spark: SparkSession, sf: str) -> DataFrame:
 
 # --- combinations and simulations ----------------------------------------------------------------
 
-COMBOS = """SELECT p AS protocol, CASE WHEN p = 'local_sensing' THEN mm::INT END AS m, r::INT AS stochastic_id,
+COMBOS = """SELECT p AS protocol, CASE WHEN p = 'local_sensing' THEN mm::INT ELSE 0 END AS m, r::INT AS stochastic_id,
   p || '__m' || CASE WHEN p = 'local_sensing' THEN lpad(mm::VARCHAR, 3, '0') ELSE 'NA' END || '__rep' || lpad(r::VARCHAR, 4, '0') AS key
 FROM (SELECT unnest(['random', 'degree', 'adap_degree', 'betweenness', 'adap_betweenness', 'local_sensing']) AS p), range(1, 21) q(mm), range(1, 101) t(r)
 WHERE (p = 'local_sensing' OR mm = 1) AND (p NOT IN ('degree', 'betweenness') OR r = 1)"""
@@ -584,13 +590,14 @@ WHERE (p = 'local_sensing' OR mm = 1) AND (p NOT IN ('degree', 'betweenness') OR
 @query(COMBOS)
 def combos(spark: SparkSession, sf: str) -> DataFrame:
     c = RunConfig()
-    return robustness.combos(spark, list(c.protocols), c.m_values, c.n_attacks)
+    return _plain_m(robustness.combos(spark, list(c.protocols), c.m_values, c.n_attacks))
 
 
-@query(f"WITH c AS ({COMBOS}) SELECT protocol, m, stochastic_id, key FROM c WHERE NOT (stochastic_id <= 40 AND (m IS NULL OR m <= 10))")
+@query(f"WITH c AS ({COMBOS}) SELECT protocol, m, stochastic_id, key FROM c WHERE NOT (stochastic_id <= 40 AND m <= 10)")
 def resume_antijoin(spark: SparkSession, sf: str) -> DataFrame:
-    work = combos(spark, sf)
-    return robustness.unfinished(work, work.where("stochastic_id <= 40 and (m is null or m <= 10)"))
+    c = RunConfig()
+    work = robustness.combos(spark, list(c.protocols), c.m_values, c.n_attacks)
+    return _plain_m(robustness.unfinished(work, work.where("stochastic_id <= 40 and (m is null or m <= 10)")))
 
 
 def _attack(spark: SparkSession, sf: str, protocols: list[str], m_values: list[int], n_attacks: int, least: float = 45, **settings) -> DataFrame:
