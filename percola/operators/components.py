@@ -30,6 +30,8 @@ def connected_components(
     for _ in range(max_rounds):
         both = arcs.union(arcs.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        # written, so that the join below sees two plain exchanges and can split a node with very many arcs
+        least = staged.put(least, "least")
         # large star: neighbours above a node point to the least of its neighbourhood
         large = (
             arcs.select(F.col("v").alias("u"), F.col("u").alias("w"))
@@ -40,7 +42,7 @@ def connected_components(
         )
         large = staged.put(large, "large-star")
         # small star: neighbours below a node, and the node, point to the least of them
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        low = staged.put(large.groupBy("u").agg(F.min("v").alias("m")), "low")
         small = (
             large.join(low, "u")
             .select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -50,7 +52,7 @@ def connected_components(
         )
         small = staged.put(small, "small-star")
         now = small.agg(F.count("*"), F.sum(F.hash("u", "v").cast("decimal(38,0)")), F.bit_xor(F.xxhash64("u", "v"))).first()
-        staged.drop(arcs, large)
+        staged.drop(arcs, large, least, low)
         arcs = small
         if now == before or now[0] == 0:
             break
