@@ -6,18 +6,32 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from percola.llm.decontamination import contamination
-from percola.llm.language import identify
+from percola.llm.language import Model, identify, training_texts
 from percola.llm.mixing import mix
 from percola.llm.near_dedup import drop_near_duplicates
 from percola.llm.sharding import shard
 from percola.session import Staged, ship
 
 
+def _packed(docs: DataFrame) -> DataFrame:
+    """doc_id, text, and the other columns as one, so that none clashes with what an operator adds."""
+    rest = [F.col(c) for c in docs.columns if c != "text"]
+    return docs.select("doc_id", "text", F.struct(*rest).alias("_row"))
+
+
+def _unpacked(docs: DataFrame, columns: list[str]) -> list:
+    return [F.col("text") if c == "text" else F.col("_row")[c].alias(c) for c in columns]
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents whose language is `und`; a null lang takes the predicted one."""
     ship(spark)
-    found = identify(docs, keep=docs.columns).where("lang_pred <> 'und'")
-    return found.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+    packed = _packed(docs)
+    found = identify(packed, Model.fit(training_texts(docs)), keep=packed.columns).where("lang_pred <> 'und'")
+    own = dict(zip(docs.columns, _unpacked(found, docs.columns), strict=True))
+    if "lang" in own:
+        own["lang"] = F.coalesce(own["lang"], "lang_pred").alias("lang")
+    return found.select(*own.values())
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,8 +43,9 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that are contaminated by the benchmark."""
     ship(spark)
-    found = contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), keep=docs.columns)
-    return found.where(~F.col("contaminated")).select(*docs.columns)
+    packed = _packed(docs)
+    found = contamination(packed, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), keep=packed.columns).where(~F.col("contaminated"))
+    return found.select(*_unpacked(found, docs.columns))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

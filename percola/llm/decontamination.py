@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from percola.llm import ragged
 
@@ -209,9 +210,9 @@ def contamination(
 
     def scan(frame: DataFrame, items: list[tuple[str, str]]) -> DataFrame:
         index = sc.broadcast(pickle.dumps(Index(items, window, GRAM)))
-        carried = [f for f in frame.schema if f.name != "text" or "text" in keep]
-        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in carried)
-        return frame.mapInArrow(_scan(index, "text" in keep), f"{schema}, n_words long, spans array<long>, items array<string>")
+        carried = [f for f in frame.schema.fields if f.name != "text" or "text" in keep]
+        added = [T.StructField("n_words", T.LongType()), T.StructField("spans", T.ArrayType(T.LongType())), T.StructField("items", T.ArrayType(T.StringType()))]
+        return frame.mapInArrow(_scan(index, "text" in keep), T.StructType([*carried, *added]))
 
     blocks = _blocks(benchmark, block_bytes)
     found = scan(sent, next(blocks, []))

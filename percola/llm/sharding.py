@@ -94,20 +94,21 @@ def shard(
     share makes its shard larger; a shard may then be empty. Empty table: empty result.
     """
     staged = staged or Staged(docs.sparkSession)
-    added = {"size", "text_crc32", "law", "shard", "slot", "grown_shard", "_key", "_lane", "_start"}
+    added = {"size", "text_crc32", "law", "shard", "slot", "grown_shard"}
     kept = [c for c in docs.columns if c.lower() not in added]
     key, lane = sort_key(F.col("text"), F.col("doc_id")), F.pmod(F.xxhash64("doc_id", "text"), F.lit(lanes)).cast("int")
     keyed = staged.put(docs.select(key.alias("key"), row_size(F.col("text")).alias("size"), lane.alias("lane")), "keys")
     keys = splitters(keyed, n_shards, tolerance)
     lane_start = F.sum("count").over(Window.partitionBy("_s").orderBy("_l").rowsBetween(Window.unboundedPreceding, -1))
     starts = keyed.groupBy(shard_of(F.col("key"), keys).alias("_s"), F.col("lane").alias("_l")).count().select("_s", "_l", F.coalesce(lane_start, F.lit(0)).alias("_start"))
-    rows = docs.select(*kept, row_size(F.col("text")).alias("size"), F.crc32(F.col("text").cast("binary")).alias("text_crc32"), key.alias("_key"), lane.alias("_lane"))
-    rows = rows.withColumn("shard", shard_of(F.col("_key"), keys))
-    place = F.row_number().over(Window.partitionBy("shard", "_lane").orderBy("_key", "doc_id")) - 1
-    placed = rows.withColumn("slot", place)
+    rows = docs.select(
+        F.struct(*kept).alias("_row"), row_size(F.col("text")).alias("size"), F.crc32(F.col("text").cast("binary")).alias("text_crc32"),
+        shard_of(key, keys).alias("shard"), key.alias("_key"), lane.alias("_lane"),
+    )
+    place = F.row_number().over(Window.partitionBy("shard", "_lane").orderBy("_key", "_row.doc_id")) - 1
     # n_shards * lanes rows at most, whatever the input
-    placed = placed.join(F.broadcast(starts), (F.col("shard") == F.col("_s")) & (F.col("_lane") == F.col("_l")))
+    placed = rows.withColumn("slot", place).join(F.broadcast(starts), (F.col("shard") == F.col("_s")) & (F.col("_lane") == F.col("_l")))
     return placed.select(
-        *kept, "size", "text_crc32", F.lit("bytes").alias("law"), F.col("shard").cast("int").alias("shard"),
+        "_row.*", "size", "text_crc32", F.lit("bytes").alias("law"), F.col("shard").cast("int").alias("shard"),
         (F.col("slot") + F.col("_start")).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"),
     )

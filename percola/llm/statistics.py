@@ -83,9 +83,8 @@ def statistics(column: pa.Array) -> Stats:
     breaks = np.flatnonzero(buf == 10)
     starts = np.unique(np.concatenate([off[:-1][np.diff(off) > 0], breaks + 1]))
     starts = starts[starts < len(buf)]
-    stops = np.append(starts[1:], len(buf))
-    ends_with_break = buf[stops - 1] == 10 if len(stops) else np.zeros(0, bool)
-    stops = stops - ends_with_break
+    stops = np.append(starts[1:], len(buf))[: len(starts)]
+    stops = stops - (buf[stops - 1] == 10)
     word_cut = np.searchsorted(begin, np.append(starts, len(buf)))
     with_word = np.diff(word_cut) > 0
     starts, stops, low, high = starts[with_word], stops[with_word], word_cut[:-1][with_word], word_cut[1:][with_word]
