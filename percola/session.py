@@ -38,6 +38,17 @@ def shared_dir(spark: SparkSession) -> str:
     return at
 
 
+_bases: list[str] = []
+
+
+def clean(spark: SparkSession) -> None:
+    """Delete every table that this process has staged. Results that still read them are lost, so call it last."""
+    jvm = spark._jvm
+    while _bases:
+        path = jvm.org.apache.hadoop.fs.Path(_bases.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 class Staged:
     """Tables written to the shared folder: a written table cuts lineage and outlives executors. drop() deletes one early."""
 
@@ -45,6 +56,7 @@ class Staged:
         self.spark = spark
         self.base = f"{shared_dir(spark)}/percola-{uuid.uuid4().hex}"
         self._n = 0
+        _bases.append(self.base)
 
     def path(self, name: str) -> str:
         self._n += 1

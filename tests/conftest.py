@@ -8,9 +8,10 @@ sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 
 @pytest.fixture(scope="session")
 def spark():
-    from percola.session import local_session
+    from percola.session import clean, local_session
 
     s = local_session(4, 4)
     s.sparkContext.setLogLevel("ERROR")
     yield s
+    clean(s)
     s.stop()
