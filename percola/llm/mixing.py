@@ -113,8 +113,10 @@ def mix(docs: DataFrame, staged: Staged | None = None, **options) -> DataFrame:
     repeat = F.explode(F.sequence(F.lit(1), F.col("_copies")))
     taken = plan.where("copies > 0")
     if not plan.groupBy("doc_id").count().where("count > 1 or doc_id is null").limit(1).count():
-        out = docs.join(taken.select("doc_id", F.col("copies").alias("_copies")), "doc_id")
-        return out.withColumn("_copy", repeat).select(*docs.columns)
+        # the same plan at every size: whether the plan could be broadcast depends on the corpus
+        packed = docs.select(F.struct(*docs.columns).alias("row"), "doc_id")
+        out = packed.join(taken.select("doc_id", F.col("copies").alias("_copies")).hint("merge"), "doc_id")
+        return out.withColumn("_copy", repeat).select("row.*")
     w = Window.partitionBy("doc_id", "source", "size")
     taken = plan.select("doc_id", "source", "size", F.col("copies").alias("_copies"), F.row_number().over(w.orderBy("copies")).alias("nth")).where("_copies > 0")
     inner = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id"), F.col("source"), word_count(F.col("text")).alias("size"))

@@ -359,7 +359,8 @@ def drop_near_duplicates(docs: DataFrame, k: int = 5, percent: int = 85, staged:
     staged = staged or Staged(docs.sparkSession)
     found = staged.put(near_duplicates(docs, k, percent, staged), "decisions")
     gone = found.where(~F.col("kept")).select("doc_id").distinct()
-    left = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    # the same plan at every size: whether these ids could be broadcast depends on the corpus
+    left = docs.join(gone.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
     several = found.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
     if not several.limit(1).count():
         return left
