@@ -11,12 +11,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from percola.llm import ragged
 
 #: Bytes of normalised text that a language is learned from, and the documents that supply them.
-TRAIN_BYTES, TRAIN_DOCS = 24_000, 64
-#: Languages that are learned; a further one is refused, as automata are broadcast (about 3 MB for each).
+TRAIN_BYTES, TRAIN_DOCS = 16_000, 64
+#: Languages that are learned; a further one is refused, as automata are broadcast (some 6 MB for each).
 MOST_LANGUAGES = 64
 #: Texts are parsed in blocks of so many bytes; a phrase ends at a block's end.
 BLOCK = 2048
@@ -168,7 +169,7 @@ def _predict(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model = pickle.loads(model.value)
         for batch in batches:
-            for part in ragged.slices(batch, limit=8_000_000):
+            for part in ragged.slices(batch, limit=2_000_000):
                 names, score, rate = m.predict(part.column("text").to_pylist())
                 rest = [(c, n) for c, n in zip(part.columns, part.schema.names, strict=True) if n != "_text"]
                 yield pa.RecordBatch.from_arrays(
@@ -196,6 +197,6 @@ def identify(docs: DataFrame, model: Model | None = None, keep: list[str] | None
     model = model or Model.fit(training_texts(docs))
     sent = docs.sparkSession.sparkContext.broadcast(pickle.dumps(model))
     source = docs.select(*keep) if "text" in keep else docs.select(*keep, "text")
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema)
-    out = source.mapInArrow(_predict(sent), f"{fields}, lang_pred string, score double, phrase_rate double")
+    added = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("phrase_rate", T.DoubleType())]
+    out = source.mapInArrow(_predict(sent), T.StructType([*source.schema.fields, *added]))
     return out if "text" in keep else out.drop("text")

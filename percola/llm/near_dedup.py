@@ -33,7 +33,7 @@ PREFIX = COORDINATES - THRESHOLD + 1
 #: Cells of the sketch: between these, about one for each 16 representatives; so the broadcast stays under 64 MB.
 CELLS_LOG2 = (18, 24)
 #: Rows of a block of a long posting list; rows and shingles of a block of a large candidate component.
-LIST_BLOCK, ROWS_BLOCK, SHINGLES_BLOCK = 2048, 512, 1_000_000
+LIST_BLOCK, ROWS_BLOCK, SHINGLES_BLOCK = 2048, 512, 400_000
 _SKETCH_BLOCK = 14
 
 _rng = np.random.Generator(np.random.PCG64(20240229))
