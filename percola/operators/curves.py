@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from percola.functions.scalar import sem
 from percola.operators.components import connected_components
+from percola.operators.graph import ONE_TASK
 from percola.session import Staged
 
 KEY = ["label", "protocol", "m"]
@@ -103,7 +104,7 @@ def curve_on_grid(edges: DataFrame, ranks: DataFrame, n_nodes: int, grid: list[i
     points = F.explode(F.array(*[F.struct(F.lit(g).alias("g"), F.lit(k).alias("k")) for g, k in enumerate(grid)]))
     alive = ranked.withColumn("x", points).where(F.least("ra", "rb") > F.col("x.k"))
     base = F.col("x.g").cast("long") * (n_nodes + 1)
-    found = connected_components(alive.select((base + F.col("ra")).alias("src"), (base + F.col("rb")).alias("dst")), staged=staged)
+    found = connected_components(alive.select((base + F.col("ra")).alias("src"), (base + F.col("rb")).alias("dst")), staged=staged, one_task=ONE_TASK)
     sizes = found.groupBy("component").agg(F.count("*").alias("size")).withColumn("g", F.floor(F.col("component") / (n_nodes + 1)).cast("int"))
     top = F.row_number().over(Window.partitionBy("g").orderBy(F.desc("size")))
     two = sizes.withColumn("t", top).where("t <= 2").groupBy("g").agg(F.max(F.when(F.col("t") == 1, F.col("size"))).alias("s1"), F.max(F.when(F.col("t") == 2, F.col("size"))).alias("s2"))

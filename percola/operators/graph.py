@@ -9,6 +9,9 @@ from percola.operators.components import connected_components
 from percola.operators.ranking import positions
 from percola.session import Staged
 
+#: Arcs between integers that one task merges at once (16 bytes each); more go in distributed rounds.
+ONE_TASK = 1_000_000
+
 
 def canonical_edges(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """Distinct (src, dst) with src < dst: mirrored, repeated and self edges collapse or go; null ends go."""
@@ -67,7 +70,7 @@ def neighbours_of(edges: DataFrame, seeds: DataFrame) -> DataFrame:
 
 def components(edges: DataFrame, nodes: DataFrame | None = None, staged: Staged | None = None) -> DataFrame:
     """(node, component): component is the least node reachable; with a node table, isolated nodes are their own."""
-    found = connected_components(edges, staged=staged)
+    found = connected_components(edges, staged=staged, one_task=ONE_TASK)
     if nodes is None:
         return found
     return nodes.select("node").join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
