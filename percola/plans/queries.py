@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from percola.functions import scalar
 from percola.operators import curves, graph, ranking, robustness, statistics, walks
 from percola.operators.robustness import RunConfig
+from percola.plans import workflows
 from percola.session import Staged
 from percola.sources import views as v
 
@@ -250,7 +251,27 @@ def round_trip(spark: SparkSession, sf: str) -> DataFrame:
     return graph.round_trip_check(graph.endpoints(e), e)
 
 
-GRID = [0.0, 0.05, 0.1, 0.15, 0.2, 0.25, 0.3, 0.35, 0.4, 0.45, 0.5, 0.55, 0.6, 0.65, 0.7, 0.75, 0.8, 0.85, 0.9, 0.95, 1.0]
+@query(with_views(
+    "SELECT count(*) AS n_nodes, (SELECT count(*) FROM e) AS n_edges, count(*) FILTER (component = top) AS lcc_nodes, (SELECT count(*) FROM e JOIN c x ON x.node = e.src, b WHERE x.component = b.top) AS lcc_edges, round(100.0::DOUBLE * count(*) FILTER (component <> top) / count(*), 6) AS pct_nodes_dropped, round(100.0::DOUBLE * (SELECT count(*) FROM e JOIN c x ON x.node = e.src, b WHERE x.component <> b.top) / (SELECT count(*) FROM e), 6) AS pct_edges_dropped FROM c, b",
+    True, e=CP45, sym=SYM, reach=REACH, c=COMP, b="SELECT component AS top FROM c GROUP BY 1 ORDER BY count(*) DESC, component LIMIT 1",
+))
+def lcc_share(spark: SparkSession, sf: str) -> DataFrame:
+    return _rounded(workflows.lcc_share(v.copurchase(spark, sf, 45)), 6)
+
+
+LOCAL = "SELECT original_id, c_acctbal AS s FROM c WHERE regexp_extract(original_id, '^([^_.]*)', 1) = 'BUILDING'"
+
+
+@query(with_views(
+    "SELECT original_id, rg AS rank_global, rl AS rank_local, (rg <= n / 4 AND rl >= 3 * n / 4) OR (rl <= n / 4 AND rg >= 3 * n / 4) AS rank_disagreement FROM r, (SELECT count(*)::DOUBLE AS n FROM j)",
+    c=v.PLACES_SQL, l=LOCAL, j="SELECT l.original_id, l.s, -c.node % 97 AS g FROM l JOIN c USING (original_id)",
+    r="SELECT original_id, rank() OVER (ORDER BY g) + (count(*) OVER (PARTITION BY g) - 1) / 2 AS rg, rank() OVER (ORDER BY s) + (count(*) OVER (PARTITION BY s) - 1) / 2 AS rl FROM j",
+))
+def local_vs_global(spark: SparkSession, sf: str) -> DataFrame:
+    places = v.places(spark, sf)
+    whole = places.select("original_id", (-F.col("node") % 97).cast("double").alias("s"))
+    local = places.where(workflows.in_country("building")).select("original_id", F.col("c_acctbal").alias("s"))
+    return workflows.local_vs_global(whole, local, "s").select("original_id", "rank_global", "rank_local", "rank_disagreement")
 
 
 @query(with_views(

@@ -199,3 +199,19 @@ def test_running_totals_start_at_zero(spark):
     df = spark.createDataFrame([(i, i * i) for i in range(50)], "k long, v long").repartition(6)
     got = {r.k: r.t for r in ranking.running_total(df, [F.col("k")], F.col("v"), "t").collect()}
     assert got == {i: sum(j * j for j in range(i)) for i in range(50)}
+
+
+def test_prepare_and_extract(spark):
+    from percola.plans import workflows
+
+    raw = spark.createDataFrame([("A.1", "A.2"), ("A.2", "A.1"), ("A.2", "B.3"), ("B.3", "B.4"), ("A.1", "A.1"), ("C.8", "C.9")], "src string, dst string")
+    attributes = spark.createDataFrame([("A.1", 0.0, 0.0), ("A.2", 0.1, 0.1), ("B.3", 50.0, 10.0), ("B.3", 50.0, 10.0)], "original_id string, lat double, lon double")
+    p = workflows.prepare_network(raw, attributes)
+    assert sorted(map(tuple, p.edges.collect())) == [(1, 2), (2, 3), (3, 4)]
+    s = p.stats.first()
+    assert (s.n_nodes, s.lcc_nodes, s.n_edges, s.lcc_edges, s.n_self_loops, s.n_missing) == (6, 4, 4, 3, 1, 1) and s.pct_nodes_dropped == pytest.approx(100 / 3)
+    near = workflows.extract_local(p.edges, p.mapping, workflows.within(0.0, 0.0))
+    assert sorted(map(tuple, near.edges.collect())) == [(1, 2)] and {r.original_id for r in near.mapping.collect()} == {"A.1", "A.2"}
+    assert {r.original_id for r in workflows.extract_local(p.edges, p.mapping, workflows.in_country("b")).mapping.collect()} == {"B.3", "B.4"}
+    table = workflows.master_table(p.mapping, spark.createDataFrame([(1, 5)], "node long, degree long"), spark.createDataFrame([(2, 0.5)], "node long, random double"))
+    assert table.count() == 4 and table.where("degree is null").count() == 3
