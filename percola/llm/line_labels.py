@@ -62,14 +62,22 @@ class Field:
             x[: len(b), i], y[: len(b), i] = a, b
         live = np.array([(size > t).sum() for t in range(longest)])
         on = np.arange(n)[None, :] < live[:, None]
-        gold_emit = np.stack([np.einsum("tnf,tn->f", x, on & (y == c)) for c in (0, 1)], 1)
+        flat = x[on]
+        gold_emit = np.stack([flat.T @ (y[on] == c).astype(np.float32) for c in (0, 1)], 1)
         both = on[1:] & on[:-1]
         gold_step = np.array([[(both & (y[:-1] == a) & (y[1:] == b)).sum() for b in (0, 1)] for a in (0, 1)], float)
         gold_start = np.array([(y[0] == c).sum() for c in (0, 1)], float)
         first, second = np.zeros_like(theta), np.zeros_like(theta)
         for it in range(1, rounds + 1):
             emit, step, start = theta[:-6].reshape(-1, 2), theta[-6:-2].reshape(2, 2), theta[-2:]
-            e = x @ emit.astype(np.float32)
+            scores = flat @ emit.astype(np.float32)
+            if not chain:
+                p = np.exp(scores - np.logaddexp(scores[:, :1], scores[:, 1:]))
+                grad = np.concatenate([(gold_emit - flat.T @ p).ravel(), np.zeros(6)]) - ridge * theta
+                theta, first, second = Field._step(theta, grad / size.sum(), first, second, it, rate)
+                continue
+            e = np.zeros((longest, n, 2))
+            e[on] = scores
             ahead, back = np.full((longest, n, 2), 0.0), np.zeros((longest, n, 2))
             ahead[0] = e[0] + start
             for t in range(1, longest):
@@ -81,15 +89,18 @@ class Field:
                 back[t, :k] = np.logaddexp(step[:, 0] + on_next[:, :1], step[:, 1] + on_next[:, 1:])
             norm = np.logaddexp.reduce(ahead[0] + back[0], 1)
             p = np.exp(np.minimum(ahead + back - norm[None, :, None], 0.0)) * on[:, :, None]
-            pair = ahead[:-1, :, :, None] + step + (e[1:] + back[1:])[:, :, None, :] - norm[None, :, None, None]
-            pair = (np.exp(np.minimum(pair, 0.0)) * both[:, :, None, None]).sum((0, 1))
-            grad = np.concatenate([(gold_emit - np.einsum("tnf,tnc->fc", x, p)).ravel(), (gold_step - pair).ravel(), gold_start - p[0].sum(0)]) - ridge * theta
-            grad /= size.sum()
-            grad[-6:] *= chain
-            first, second = 0.9 * first + 0.1 * grad, 0.999 * second + 0.001 * grad**2
-            theta = theta + rate * (first / (1 - 0.9**it)) / (np.sqrt(second / (1 - 0.999**it)) + 1e-8)
+            onward = e[1:] + back[1:] - norm[None, :, None]
+            pair = np.array([[np.exp(np.minimum(ahead[:-1, :, i] + step[i, j] + onward[:, :, j], 0.0))[both].sum() for j in (0, 1)] for i in (0, 1)])
+            grad = np.concatenate([(gold_emit - flat.T @ p[on].astype(np.float32)).ravel(), (gold_step - pair).ravel(), gold_start - p[0].sum(0)]) - ridge * theta
+            theta, first, second = Field._step(theta, grad / size.sum(), first, second, it, rate)
         return Field(theta[:-6].reshape(-1, 2), theta[-6:-2].reshape(2, 2), theta[-2:])
 
+    @staticmethod
+    def _step(theta: np.ndarray, grad: np.ndarray, first: np.ndarray, second: np.ndarray, it: int, rate: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """One ascent by Adam."""
+        first, second = 0.9 * first + 0.1 * grad, 0.999 * second + 0.001 * grad**2
+        return theta + rate * (first / (1 - 0.9**it)) / (np.sqrt(second / (1 - 0.999**it)) + 1e-8), first, second
+
     def viterbi(self, features: np.ndarray, first: np.ndarray) -> np.ndarray:
         """The likeliest labels of all lines; first has each text's first line, and the end. All texts take a line at a time."""
         n = np.diff(first)
