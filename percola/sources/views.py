@@ -10,9 +10,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def copurchase(spark: SparkSession, sf_dir: str, least: float) -> DataFrame:
-    """Parts bought together in one order, each in a quantity of `least` or more: (src, dst), src < dst. An order has few lines, so pairs stay few."""
-    lines = table(spark, sf_dir, "lineitem").where(F.col("l_quantity") >= least).select("l_orderkey", "l_partkey").distinct()
+def copurchase(spark: SparkSession, sf_dir: str, least: float | None = None) -> DataFrame:
+    """Parts bought together in one order: (src, dst), src < dst. With `least`, only lines of that quantity or more count. An order has few lines, so pairs stay few."""
+    lines = table(spark, sf_dir, "lineitem")
+    lines = (lines if least is None else lines.where(F.col("l_quantity") >= least)).select("l_orderkey", "l_partkey").distinct()
     a, b = lines.select("l_orderkey", F.col("l_partkey").alias("src")), lines.select("l_orderkey", F.col("l_partkey").alias("dst"))
     return a.join(b, "l_orderkey").where("src < dst").select("src", "dst").distinct()
 
@@ -20,6 +21,9 @@ def copurchase(spark: SparkSession, sf_dir: str, least: float) -> DataFrame:
 COPURCHASE_SQL = """SELECT DISTINCT a.l_partkey AS src, b.l_partkey AS dst FROM lineitem a JOIN lineitem b
   ON a.l_orderkey = b.l_orderkey AND a.l_partkey < b.l_partkey WHERE a.l_quantity >= {0} AND b.l_quantity >= {0}"""
 
+COPURCHASE_ALL_SQL = """SELECT DISTINCT a.l_partkey AS src, b.l_partkey AS dst FROM lineitem a JOIN lineitem b
+  ON a.l_orderkey = b.l_orderkey AND a.l_partkey < b.l_partkey"""
+
 
 def part_supplier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts and the suppliers of their lines; a supplier's node is minus its key."""
