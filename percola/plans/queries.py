@@ -640,6 +640,12 @@ def score_attack(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def adaptive_betweenness(spark: SparkSession, sf: str) -> DataFrame:
+    return _attack(spark, sf, ["betweenness", "adap_betweenness"], [], 2, btw_update=50)
+
+
+@query()
+def adaptive_betweenness_sampled(spark: SparkSession, sf: str) -> DataFrame:
+    """Dependencies of 64 sampled sources: an estimate."""
     return _attack(spark, sf, ["betweenness", "adap_betweenness"], [], 2, btw_update=50, btw_k=64)
 
 
@@ -650,6 +656,12 @@ def louvain(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def betweenness(spark: SparkSession, sf: str) -> DataFrame:
+    return robustness.betweenness(v.copurchase(spark, sf))
+
+
+@query()
+def betweenness_sampled(spark: SparkSession, sf: str) -> DataFrame:
+    """Dependencies of 256 sampled sources, scaled to all: an estimate."""
     return robustness.betweenness(v.copurchase(spark, sf), k=256)
 
 

@@ -34,3 +34,18 @@ def test_twins_read_no_quantity():
     for name in q.CUT:
         assert f"{name}_all" in q.QUERIES
         assert "l_quantity" in q.SQL[name] and "l_quantity" not in q.SQL.get(f"{name}_all", "")
+
+
+def test_betweenness_takes_every_source(spark, tmp_path):
+    n = 300  # beyond a sample of 256: a path, order i joins parts i and i + 1
+    rows = [(i, p, 50.0) for i in range(n - 1) for p in (i, i + 1)]
+    spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = {r[0]: r[1] for r in q.QUERIES["betweenness"](spark, str(tmp_path)).collect()}
+    assert got == {i: float(i * (n - 1 - i)) for i in range(n)}
+
+
+def test_adaptive_betweenness_takes_every_source(monkeypatch):
+    asked = {}
+    monkeypatch.setattr(q, "_attack", lambda *a, **settings: asked.update(settings))
+    q.QUERIES["adaptive_betweenness"](None, "")
+    assert asked.get("btw_k") is None
