@@ -306,7 +306,7 @@ def near_duplicates(
     classes = staged.put(s.where("n > 0 and doc_id is not null").groupBy(*key).agg(F.min("doc_id").alias("rep")), "classes")
     n_classes = classes.count()
     reps = s.where("n > 0").join(classes.select(*key, F.col("rep").alias("doc_id")), [*key, "doc_id"], "left_semi")
-    reps = staged.put(reps.select("doc_id", "n", "sig").dropDuplicates(["doc_id", "n"]), "representatives")
+    reps = staged.put(reps.select("doc_id", *key, "sig").dropDuplicates(["doc_id", *key]).drop("fp1", "fp2"), "representatives")
 
     log2 = min(CELLS_LOG2[1], max(CELLS_LOG2[0], (max(1, n_classes) // 16).bit_length()))
     counted = reps.select("sig").mapInArrow(_count(log2), "block int, cells binary, counts binary")

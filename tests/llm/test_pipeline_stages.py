@@ -1,6 +1,7 @@
-"""Stages of the pipeline."""
+"""Stages of the pipeline, and near duplicates where rows repeat a doc_id."""
 
 import corpus_pipeline
+from percola.llm.near_dedup import near_duplicates
 
 
 def text(name, changed=None):
@@ -12,3 +13,9 @@ def test_near_dedup_stage_at_82_percent(spark):
     rows = [(1, text("a")), (2, text("a", 25)), (3, text("b"))]  # 45 of 55 shingles
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted(r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, "").collect()) == [1, 3]
+
+
+def test_repeated_doc_id_posts_each_text(spark):
+    rows = [(1, text("a")), (1, text("b")), (2, text("a", 2)), (3, text("b", 2))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {(r["doc_id"], r["component_id"]) for r in near_duplicates(docs, percent=80).collect()} == {(1, 1), (2, 1), (3, 1)}
