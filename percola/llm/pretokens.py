@@ -107,28 +107,99 @@ def split_special(column: pa.Array, special: list[str]) -> tuple[pa.Array, np.nd
     return pa.array(pieces, pa.large_string()), np.array(owner), found
 
 
+def checked(spec: dict) -> dict:
+    """A tokenizer file's content, if its pre-tokens are those that are cut here: plain byte-level BPE. Else an error."""
+    model, pre = spec["model"], spec.get("pre_tokenizer") or {}
+    more = [spec.get("normalizer"), *[model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges")]]
+    if model["type"] != "BPE" or pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or pre.get("use_regex") is False or any(more):
+        raise ValueError("only plain byte-level BPE is supported")
+    return spec
+
+
+class _Generation:
+    """Sorted keys, some in a small second run that is merged into the first from time to time; values lie one after another."""
+
+    def __init__(self, dtype: type):
+        none = (np.zeros(0, np.uint64), np.zeros(0, np.int32))
+        self.runs = [none, none]
+        self.off, self.flat, self.n, self.used = np.zeros(1024, np.int32), np.zeros(4096, dtype), 0, 0
+
+    def look_up(self, keys: np.ndarray) -> np.ndarray:
+        """Places of sorted keys; -1 where unknown."""
+        out = np.full(len(keys), -1, np.int32)
+        for have, place in self.runs:
+            if len(have):
+                at = np.minimum(np.searchsorted(have, keys), len(have) - 1)
+                hit = have[at] == keys
+                out[hit] = place[at[hit]]
+        return out
+
+    def add(self, keys: np.ndarray, counts: np.ndarray, flat: np.ndarray) -> None:
+        n, used = self.n + len(keys), self.used + len(flat)
+        if n >= len(self.off):
+            self.off = np.concatenate([self.off, np.zeros(n, np.int32)])
+        if used > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros(used, self.flat.dtype)])
+        self.off[self.n + 1 : n + 1] = self.used + np.cumsum(counts)
+        self.flat[self.used : used] = flat
+        self.runs[1] = self._joined(self.runs[1], (keys, np.arange(self.n, n, dtype=np.int32)))
+        if 8 * len(self.runs[1][0]) > len(self.runs[0][0]):
+            self.runs = [self._joined(*self.runs), (np.zeros(0, np.uint64), np.zeros(0, np.int32))]
+        self.n, self.used = n, used
+
+    @staticmethod
+    def _joined(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        at = np.searchsorted(a[0], b[0])
+        return np.insert(a[0], at, b[0]), np.insert(a[1], at, b[1])
+
+
 class Memo:
-    """What is known of pre-tokens by hash: a ragged array of values for each. At the limit it stops growing; that costs time only."""
+    """What is known of pre-tokens by hash: an array of values for each.
+
+    At `limit` keys a new generation begins; keys that are met again move into it, and the generation before the last
+    is forgotten. So memory is bounded, and what is frequent stays known however much text a worker sees.
+    """
 
     def __init__(self, dtype: type, limit: int = 1_000_000):
-        self.keys = np.zeros(0, np.uint64)
-        self.off = np.zeros(1, np.int64)
-        self.place = np.zeros(0, np.int64)
-        self.flat = np.zeros(0, dtype)
-        self.limit = limit
-
-    def look_up(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """For sorted keys: their places, and which are known."""
-        if not len(self.keys):
-            return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
-        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        return self.place[at], self.keys[at] == keys
+        self.dtype, self.limit = dtype, limit
+        self.now, self.before = _Generation(dtype), _Generation(dtype)
+
+    def __len__(self) -> int:
+        return self.now.n + self.before.n
+
+    def values(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For sorted keys: how many values each has (-1: unknown), and known values one after another."""
+        size = np.full(len(keys), -1, np.int64)
+        found = []
+        for g in (self.now, self.before):
+            place = g.look_up(keys)
+            new = np.flatnonzero((place >= 0) & (size < 0))
+            size[new] = g.off[place[new] + 1] - g.off[place[new]]
+            found.append((g, new, place[new]))
+        known = np.maximum(size, 0)
+        begin = np.cumsum(known) - known
+        flat = np.empty(int(known.sum()), self.dtype)
+        moved = None
+        for g, rows, place in found:
+            if len(rows):
+                many = size[rows]
+                flat[spread(begin[rows], many)] = moved = g.flat[spread(g.off[place], many)]
+        g, rows, _ = found[1]
+        if len(rows):
+            self._add(keys[rows], size[rows], moved)
+        return size, flat, begin
 
     def add(self, keys: np.ndarray, counts: np.ndarray, flat: np.ndarray) -> None:
-        if len(self.keys) + len(keys) > self.limit:
-            return
-        order = np.searchsorted(self.keys, keys)
-        self.place = np.insert(self.place, order, len(self.off) - 1 + np.arange(len(keys)))
-        self.keys = np.insert(self.keys, order, keys)
-        self.off = np.concatenate([self.off, self.off[-1] + np.cumsum(counts)])
-        self.flat = np.concatenate([self.flat, flat])
+        """Sorted keys that values() doesn't know."""
+        self._add(keys, counts, flat)
+
+    def _add(self, keys: np.ndarray, counts: np.ndarray, flat: np.ndarray) -> None:
+        if self.now.n and self.now.n + len(keys) > self.limit:
+            self.before, self.now = self.now, _Generation(self.dtype)
+        self.now.add(keys, counts, flat)
+
+
+def spread(begin: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """begin[i], begin[i] + 1, ... counts[i] times, one i after another."""
+    ends = np.cumsum(counts)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(begin - ends + counts, counts)

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from percola.llm import ragged
-from percola.llm.pretokens import Memo, pretokens, span_hashes, split_special
+from percola.llm.pretokens import Memo, checked, pretokens, span_hashes, split_special
 
 _NONE = np.int64(1) << 40
 
@@ -22,12 +22,8 @@ class Merges:
     """A byte-level BPE vocabulary as arrays: ids of bytes, sorted pairs with their rank and result, special strings."""
 
     def __init__(self, tokenizer_json: str):
-        spec = json.loads(tokenizer_json)
-        model, pre = spec["model"], spec.get("pre_tokenizer") or {}
-        plain = {"normalizer": spec.get("normalizer"), "dropout": model.get("dropout"), "prefix": model.get("continuing_subword_prefix"), "suffix": model.get("end_of_word_suffix")}
-        if model["type"] != "BPE" or pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or any(plain.values()) or model.get("ignore_merges"):
-            raise ValueError("only plain byte-level BPE is supported")
-        vocab = model["vocab"]
+        spec = checked(json.loads(tokenizer_json))
+        model, vocab = spec["model"], spec["model"]["vocab"]
         # the byte alphabet: printable Latin-1 stands for itself, other bytes for 256, 257, ... in order
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = iter(range(256, 512))
@@ -86,20 +82,28 @@ class Merges:
 _state: dict[str, tuple[Merges, Memo]] = {}
 
 
+def _worker_state(name: str, model) -> tuple[Merges, Memo]:
+    """What this process keeps from task to task. Workers reach it by the function's name; a closure would bring its own empty copy."""
+    if name not in _state:
+        _state.clear()
+        _state[name] = (pickle.loads(model.value), Memo(np.int32))
+    return _state[name]
+
+
 def count_texts(column: pa.Array, merges: Merges, memo: Memo) -> np.ndarray:
     """Tokens of each text; nulls have none."""
     pieces, owner, found = split_special(column, merges.special)
     buf, begin, end, first = pretokens(pieces)
     keys, index, inverse = np.unique(span_hashes(buf, begin, end), return_index=True, return_inverse=True)
-    place, known = memo.look_up(keys)
+    have, flat, _ = memo.values(keys)
     size = np.zeros(len(keys), np.int64)
-    size[known] = memo.flat[memo.off[place[known]]]
-    new = np.flatnonzero(~known)
+    size[have > 0] = flat
+    new = np.flatnonzero(have < 0)
     if len(new):
         a, b = begin[index[new]], end[index[new]]
         data = buf[np.repeat(a, b - a) + ragged.ranges(b - a)]
         size[new], _ = merges.encode(data, np.concatenate([[0], np.cumsum(b - a)]))
-        memo.add(keys[new], np.ones(len(new), np.int64), size[new].astype(memo.flat.dtype))
+        memo.add(keys[new], np.ones(len(new), np.int64), size[new].astype(memo.dtype))
     counts = ragged.grouped_sum(size[inverse], first)
     if owner is None:
         return counts
@@ -108,10 +112,7 @@ def count_texts(column: pa.Array, merges: Merges, memo: Memo) -> np.ndarray:
 
 def _count(model, name: str, key: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if name not in _state:
-            _state.clear()
-            _state[name] = (pickle.loads(model.value), Memo(np.int32))
-        merges, memo = _state[name]
+        merges, memo = _worker_state(name, model)
         for batch in batches:
             for part in ragged.slices(batch, limit=2_000_000):
                 _, off = ragged.utf8(part.column("text"))

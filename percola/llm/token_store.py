@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from percola.llm import ragged
-from percola.llm.pretokens import Memo, pretokens, span_hashes, split_special
+from percola.llm.pretokens import Memo, checked, pretokens, span_hashes, split_special, spread
 from percola.session import Staged
 
 DIGEST = 16
@@ -38,28 +38,38 @@ def digest(data: bytes) -> bytes:
     return hashlib.blake2b(data, digest_size=DIGEST).digest()
 
 
+def encode_pretokens(pretokens: list[str], tokenizer, special: list[str], special_ids: list[int], run: int = 300) -> tuple[np.ndarray, np.ndarray]:
+    """How many ids the library gives each of some distinct pre-tokens, and the ids one after another.
+
+    With a special string to part them, `run` pre-tokens go to the library as one text; else each is a text.
+    """
+    if not special:
+        got = [e.ids for e in tokenizer.encode_batch_fast(pretokens, add_special_tokens=False)]
+        return np.array([len(g) for g in got], np.int64), np.array([i for g in got for i in g], np.int64)
+    mark, mark_id = special[0], special_ids[0]
+    texts = [mark.join(pretokens[i : i + run]) + mark for i in range(0, len(pretokens), run)]
+    ids = np.concatenate([np.array(e.ids, np.int64) for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)])
+    ends = np.flatnonzero(ids == mark_id)
+    return np.diff(ends, prepend=-1) - 1, np.delete(ids, ends)
+
+
 def encode_texts(column: pa.Array, tokenizer, special: list[str], special_ids: list[int], memo: Memo) -> tuple[np.ndarray, np.ndarray]:
     """Ids of each text, concatenated, and how many each has. The library encodes each distinct pre-token once; ids are then laid out by place."""
     pieces, owner, found = split_special(column, special)
     buf, begin, end, first = pretokens(pieces)
     keys, index, inverse = np.unique(span_hashes(buf, begin, end), return_index=True, return_inverse=True)
-    place, known = memo.look_up(keys)
-    size = np.zeros(len(keys), np.int64)
-    size[known] = memo.off[place[known] + 1] - memo.off[place[known]]
-    from_memo = memo.flat[np.repeat(memo.off[place[known]], size[known]) + ragged.ranges(size[known])]
-    new = np.flatnonzero(~known)
-    data = buf.tobytes()
-    got = [e.ids for e in tokenizer.encode_batch_fast([data[a:b].decode() for a, b in zip(begin[index[new]].tolist(), end[index[new]].tolist(), strict=True)], add_special_tokens=False)] if len(new) else []
-    size[new] = [len(g) for g in got]
-    fresh = np.array([i for g in got for i in g], memo.flat.dtype)
+    size, flat, off = memo.values(keys)
+    new = np.flatnonzero(size < 0)
     if len(new):
+        data = buf.tobytes()
+        texts = [data[a:b].decode() for a, b in zip(begin[index[new]].tolist(), end[index[new]].tolist(), strict=True)]
+        size[new], fresh = encode_pretokens(texts, tokenizer, special, special_ids)
+        fresh = fresh.astype(memo.dtype)
         memo.add(keys[new], size[new], fresh)
-    flat = np.empty(int(size.sum()), memo.flat.dtype)
-    off = np.concatenate([[0], np.cumsum(size)])
-    flat[np.repeat(off[:-1][known], size[known]) + ragged.ranges(size[known])] = from_memo
-    flat[np.repeat(off[new], size[new]) + ragged.ranges(size[new])] = fresh
+        off[new] = len(flat) + np.cumsum(size[new]) - size[new]
+        flat = np.concatenate([flat, fresh])
     many = size[inverse]
-    ids = flat[np.repeat(off[:-1][inverse], many) + ragged.ranges(many)]
+    ids = flat[spread(off[inverse], many)]
     counts = ragged.grouped_sum(many, first)
     if owner is None:
         return ids, counts
@@ -101,18 +111,23 @@ def cuts(ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.array(out, np.int64)
 
 
+def _worker_state(name: str, model, width: int) -> tuple:
+    """What this process keeps from task to task. Workers reach it by the function's name; a closure would bring its own empty copy."""
+    if name not in _state:
+        from tokenizers import Tokenizer
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        _state.clear()
+        spec = json.loads(model.value)
+        t = Tokenizer.from_str(model.value)
+        added = [a["content"] for a in spec.get("added_tokens", [])]
+        _state[name] = (t, added, [t.token_to_id(a) for a in added], Memo(np.uint16 if width == 2 else np.uint32))
+    return _state[name]
+
+
 def _encode(model, name: str, end_id: int, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        if name not in _state:
-            from tokenizers import Tokenizer
-
-            _state.clear()
-            spec = json.loads(model.value)
-            t = Tokenizer.from_str(model.value)
-            added = [a["content"] for a in spec.get("added_tokens", [])]
-            _state[name] = (t, added, [t.token_to_id(a) for a in added], Memo(np.uint16 if width == 2 else np.uint32))
-        tokenizer, special, special_ids, memo = _state[name]
+        tokenizer, special, special_ids, memo = _worker_state(name, model, width)
         for batch in batches:
             for part in ragged.slices(batch, limit=2_000_000):
                 ids, counts = encode_texts(part.column("text"), tokenizer, special, special_ids, memo)
@@ -191,7 +206,7 @@ def write_store(docs: DataFrame, path: str, tokenizer_json: str, end_id: int = 0
     """
     spark = docs.sparkSession
     staged = staged or Staged(spark)
-    vocabulary = json.loads(tokenizer_json)
+    vocabulary = checked(json.loads(tokenizer_json))
     most = max([end_id, *vocabulary["model"]["vocab"].values(), *(t["id"] for t in vocabulary.get("added_tokens", []))])
     width = 2 if most < 1 << 16 else 4
     model = spark.sparkContext.broadcast(tokenizer_json)
