@@ -298,10 +298,14 @@ def _join_crcs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def read_digests(store: Store) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every document, from the store's files.
 
+    First the Merkle tree is recomputed from the recipes up (see `tree_fault`); a root that differs is an error.
     Each chunk is read once, checked against its digest and reduced to its length and CRC-32; a
     document's checksum is combined from its chunks' in recipe order, so ids are never moved.
     A recipe that misses a chunk, or whose chunks don't add up to n_tokens, raises an error.
     """
+    wrong = tree_fault(store)
+    if wrong:
+        raise ValueError(f"the store's Merkle tree does not hold: {wrong}")
     width = store.table("top").first()["width"]
     chunks = store.table("chunks").select("digest", "ids").mapInArrow(_checked(width), "digest binary, n long, crc long")
     recipes = store.table("recipes")
@@ -316,13 +320,31 @@ def read_digests(store: Store) -> DataFrame:
 
 
 def verify(store: Store) -> bool:
-    """Recompute every root from the recipes up to the top; chunks are checked by read_digests."""
+    """Whether every root, from the recipes up to the top, is what it should be."""
+    return tree_fault(store) is None
+
+
+def tree_fault(store: Store) -> str | None:
+    """What is wrong with the roots, recomputed from the recipes up to the top, or None.
+
+    A document's root is the digest of its chunks' digests in order, so chunks that are swapped, lost or added change it
+    even if lengths agree. A part's root covers its documents' roots in order, and its counts and starts are added up
+    again; the top root covers the parts'. Chunks themselves are checked by read_digests.
+    """
     recipes = store.table("recipes")
     wrong = recipes.select("digests", "root").mapInArrow(_wrong_roots, "wrong long").agg(F.sum("wrong")).first()[0]
-    parts = {r["part"]: bytes(r["root"]) for r in part_roots(recipes).collect()}
-    rows = sorted(store.table("manifest").collect(), key=lambda r: r["part"])
-    top = bytes(store.table("top").first()["root"])
-    return not wrong and all(parts.get(r["part"]) == bytes(r["root"]) for r in rows) and top == digest(b"".join(bytes(r["root"]) for r in rows))
+    if wrong:
+        return f"{wrong} documents' roots"
+    counts = recipes.groupBy("part").agg(F.count("*").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"), F.min("start").alias("first_start"))
+    # a row for each part: as many as shuffle partitions when the store was written
+    found = {r["part"]: (r["first_start"], r["n_docs"], r["n_tokens"], bytes(r["root"])) for r in counts.join(part_roots(recipes), "part").collect()}
+    said = sorted(store.table("manifest").collect(), key=lambda r: r["part"])
+    if found != {r["part"]: (r["first_start"], r["n_docs"], r["n_tokens"], bytes(r["root"])) for r in said}:
+        return "a part's root or counts"
+    top = store.table("top").first()
+    if bytes(top["root"]) != digest(b"".join(bytes(r["root"]) for r in said)) or top["n_tokens"] != sum(r["n_tokens"] for r in said) or top["n_docs"] != sum(r["n_docs"] for r in said):
+        return "the top root or counts"
+    return None
 
 
 def _wrong_roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

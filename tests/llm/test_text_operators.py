@@ -1,6 +1,7 @@
 """Each operator against brute force on small tables with nulls, empty and long texts, repeated rows and clashing columns."""
 
 import collections
+import json
 import random
 import re
 import zlib
@@ -280,6 +281,44 @@ def test_a_changed_chunk_is_found(spark, vocabulary):
         read_digests(store).collect()
 
 
+def test_swapped_recipes_are_found(spark, vocabulary):
+    docs = spark.createDataFrame([(1, "one two"), (2, "six ten"), (3, "other")], "doc_id long, text string")
+    store = write_store(docs, Staged(spark).path("store"), vocabulary)
+    recipes = [r.asDict() for r in store.table("recipes").orderBy("doc_id").collect()]
+    assert recipes[0]["n_tokens"] == recipes[1]["n_tokens"]
+    recipes[0]["digests"], recipes[1]["digests"] = recipes[1]["digests"], recipes[0]["digests"]
+    schema = store.table("recipes").schema
+    spark.createDataFrame(recipes, schema).write.mode("overwrite").parquet(f"{store.path}/recipes")
+    assert not verify(store)
+    with pytest.raises(ValueError, match="documents' roots"):
+        read_digests(store)
+    recipes[0]["root"], recipes[1]["root"] = recipes[1]["root"], recipes[0]["root"]  # roots of documents hold, the part's doesn't
+    spark.createDataFrame(recipes, schema).write.mode("overwrite").parquet(f"{store.path}/recipes")
+    with pytest.raises(ValueError, match="a part's root"):
+        read_digests(store)
+
+
+def test_other_tokenizer_files_are_refused(spark, vocabulary):
+    docs = spark.createDataFrame([(1, "one")], "doc_id long, text string")
+    spec = json.loads(vocabulary)
+    for change in ({"normalizer": {"type": "NFC"}}, {"pre_tokenizer": {"type": "Whitespace"}}, {"model": spec["model"] | {"dropout": 0.1}}):
+        with pytest.raises(ValueError, match="plain byte-level"):
+            write_store(docs, Staged(spark).path("store"), json.dumps(spec | change))
+
+
+@given(st.lists(st.tuples(st.lists(st.integers(0, 60), unique=True), st.integers(0, 3)), max_size=12))
+def test_memo_forgets_but_never_errs(steps):
+    memo = Memo(np.int32, 20)
+    for keys, k in steps:
+        keys = np.array(sorted(keys), np.uint64)
+        size, flat, off = memo.values(keys)
+        for x, n, o in zip(keys.tolist(), size.tolist(), off.tolist(), strict=True):
+            assert n in (-1, x % 4) and (n < 0 or flat[o : o + n].tolist() == list(range(x, x + n)))
+        new = keys[size < 0]
+        memo.add(new, (new % np.uint64(4)).astype(np.int64), np.array([i for x in new.tolist() for i in range(x, x + x % 4)], np.int32))
+        assert (memo.values(new)[0] >= 0).all() and len(memo) <= 20 + 61 * 2
+
+
 @given(st.binary(max_size=60), st.binary(max_size=300))
 def test_joined_checksums(a, b):
     one = lambda x: np.array([zlib.crc32(x)], np.uint32)
