@@ -14,11 +14,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from percola.llm import ragged
+from percola.session import Staged
 
-#: Bytes of normalised text that a language is learned from, and the documents that supply them.
-TRAIN_BYTES, TRAIN_DOCS = 16_000, 64
-#: Languages that are learned; a further one is refused, as automata are broadcast (some 6 MB for each).
-MOST_LANGUAGES = 64
+#: Bytes of normalised text that a language is learned from, the documents that supply them, and the bytes that one
+#: document supplies as long as others have some.
+TRAIN_BYTES, TRAIN_DOCS, SHARE_BYTES = 16_000, 64, 4_000
+#: Languages whose automata are broadcast at once (some 6 MB for each); further ones take further passes over the texts.
+PASS_LANGUAGES = 16
 #: Texts are parsed in blocks of so many bytes; a phrase ends at a block's end.
 BLOCK = 2048
 
@@ -91,11 +93,18 @@ class Model:
                 for c, to in m.items():
                     nxt[s, code[c]], ended[s, code[c]] = to, 0
             table = (nxt + base) * width * 4 + ended
-            tables.append(table.astype(np.int32))
+            tables.append(table)
             roots.append(base * width)
             base += len(move)
         weight = np.array([math.log2(max(2, len(texts[x]))) for x in languages])
-        return Model(languages, code, width, np.concatenate(tables).ravel() if tables else np.zeros(0, np.int32), np.array(roots, np.int64), weight)
+        small = np.int32 if base * width * 4 < 1 << 31 else np.int64
+        return Model(languages, code, width, np.concatenate(tables).ravel().astype(small) if tables else np.zeros(0, small), np.array(roots, np.int64), weight)
+
+    @staticmethod
+    def fit_passes(texts: dict[str, bytes], most: int = PASS_LANGUAGES) -> list[Model]:
+        """Models of at most `most` languages each, in order of name. A language's costs don't depend on the others in its model."""
+        names = sorted(texts)
+        return [Model.fit({x: texts[x] for x in names[i : i + most]}) for i in range(0, len(names), most)] or [Model.fit({})]
 
     def phrases(self, blocks: list[bytes]) -> np.ndarray:
         """Phrases of each block in each language. All blocks and languages take a step at a time."""
@@ -109,7 +118,7 @@ class Model:
             codes[: size[k], k] = self.code[np.frombuffer(blocks[i], np.uint8)]
         live = len(size) - np.searchsorted(size[::-1], np.arange(size[0]), "right")
         for x, root in enumerate(self.roots):
-            state = np.full(len(blocks), root, np.int32)
+            state = np.full(len(blocks), root, self.step.dtype)
             count = np.zeros(len(blocks), np.int32)
             for t in range(size[0]):
                 m = live[t]
@@ -119,24 +128,14 @@ class Model:
             out[order, x] = count + (state != root)
         return out
 
-    def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
-        """Language, score and phrases a byte of the language for each text."""
+    def costs(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """The cost of each text in each language, and how many bytes the normalised text has."""
         clean = [normalised(t) if t else b"" for t in texts]
         blocks = [c[i : i + BLOCK] for c in clean for i in range(0, len(c), BLOCK)]
         owner = np.repeat(np.arange(len(clean)), [-(-len(c) // BLOCK) for c in clean])
         total = np.zeros((len(clean), len(self.languages)))
         np.add.at(total, owner, self.phrases(blocks) * self.weight)
-        names, score, rate = [], np.zeros(len(clean)), np.zeros(len(clean))
-        for i, c in enumerate(clean):
-            if not c or not self.languages:
-                names.append("und")
-                continue
-            by = np.argsort(total[i], kind="stable")
-            names.append(self.languages[by[0]])
-            rest = total[i, by[1]] if len(by) > 1 else np.inf
-            score[i] = 1.0 if np.isinf(rest) else rest / (rest + total[i, by[0]])
-            rate[i] = total[i, by[0]] / len(c)
-        return names, score, rate
+        return total, np.array([len(c) for c in clean], np.int64)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -144,43 +143,85 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def training_texts(docs: DataFrame, train_bytes: int = TRAIN_BYTES, train_docs: int = TRAIN_DOCS) -> dict[str, bytes]:
-    """Normalised text of each language: whole texts of the train_docs labelled documents with the least hashes
-    (ties by doc_id) among those not held out, up to train_bytes.
+def _cut(train_bytes: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            text = [normalised(t)[:train_bytes] for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("n"), pa.array(text, pa.binary())], ["lang", "n", "text"])
+
+    return run
 
-    Spark keeps the first train_docs of each language within each task before it shuffles, so a language with
-    most of the rows is no more work than another.
+
+def training_texts(docs: DataFrame, train_bytes: int = TRAIN_BYTES, train_docs: int = TRAIN_DOCS, share_bytes: int = SHARE_BYTES) -> dict[str, bytes]:
+    """Normalised text of each language, up to train_bytes, from the train_docs labelled documents with the least hashes
+    (ties by doc_id) that aren't held out and have a letter, however long they are.
+
+    Each gives its first share_bytes, in order of the hashes; if that doesn't fill the bytes, they give what follows.
+
+    Only (lang, doc_id, hash) rows are ranked, in two steps: a language's rows are dealt by the hash, so that one with
+    most of the corpus is 16 tasks' work, and each task keeps the first train_docs before it shuffles. The texts of
+    those that remain, and no others, are then taken from the table.
     """
-    w = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", "text"), "doc_id")
-    rows = docs.select("doc_id", "lang", "text").where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
-    rows = rows.where(F.length("text") <= 4 * train_bytes).withColumn("n", F.row_number().over(w)).where(F.col("n") <= train_docs).orderBy("lang", "n")
+    labelled = docs.select("doc_id", "lang", "text").where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
+    labelled = labelled.where(F.col("text").rlike(r"\p{L}")).withColumn("hash", F.xxhash64("doc_id", "text"))
+    least = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy("hash", "doc_id"))
+    dealt = labelled.select("lang", "doc_id", "hash", F.pmod("hash", F.lit(16)).alias("part"))
+    dealt = dealt.withColumn("n", least("lang", "part")).where(F.col("n") <= train_docs)
+    chosen = dealt.select("lang", "doc_id", "hash").distinct().withColumn("n", least("lang")).where(F.col("n") <= train_docs)
+    # train_docs narrow rows a language: far less than its automaton, which is broadcast too
+    rows = labelled.join(F.broadcast(chosen), ["lang", "doc_id", "hash"])
+    again = F.row_number().over(Window.partitionBy("lang", "doc_id", "hash").orderBy("n"))
+    rows = rows.withColumn("copy", again).where("copy = 1").select("lang", "n", "text").mapInArrow(_cut(train_bytes), "lang string, n int, text binary")
     out: dict[str, bytes] = {}
-    for r in rows.toLocalIterator():
-        had = out.get(r["lang"], b"")
-        if len(had) < train_bytes:
-            out[r["lang"]] = (had + b" " + normalised(r["text"]))[:train_bytes]
-    out = {k: v for k, v in out.items() if v.strip()}
-    if len(out) > MOST_LANGUAGES:
-        raise ValueError(f"{len(out)} languages; at most {MOST_LANGUAGES} are learned")
-    return out
+    rest: list[bytes] = []
+    before = None
+    for r in [*rows.orderBy("lang", "n").toLocalIterator(), None]:
+        if before is not None and (r is None or r["lang"] != before):
+            out[before] = b" ".join([out[before], *rest])[:train_bytes]
+            rest = []
+        if r is None:
+            break
+        before = r["lang"]
+        out[before] = out.get(before, b"") + b" " + bytes(r["text"][:share_bytes])
+        rest.append(bytes(r["text"][share_bytes:]))
+    return {k: v for k, v in out.items() if v.strip()}
+
+
+def _predict(model, earlier: bool, last: bool):
+    """One pass: the least cost so far (its language and bytes), and the least of all others."""
 
-
-def _predict(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model = pickle.loads(model.value)
+        names = np.array([*m.languages, None], object)
         for batch in batches:
             for part in ragged.slices(batch, limit=2_000_000):
-                names, score, rate = m.predict(part.column("text").to_pylist())
-                rest = [(c, n) for c, n in zip(part.columns, part.schema.names, strict=True) if n != "_text"]
+                total, size = m.costs(part.column("text").to_pylist())
+                total = np.concatenate([total, np.full((len(size), 2), np.inf)], 1)
+                by = np.argsort(total, 1, kind="stable")[:, :2]
+                (best, rest), own = np.take_along_axis(total, by, 1).T, names[np.minimum(by[:, 0], len(m.languages))]
+                if earlier:
+                    had, had_rest = (part.column(c).to_numpy(zero_copy_only=False) for c in ("_best", "_rest"))
+                    kept = had <= best  # of equal ones the first by name
+                    own = np.where(kept, np.array(part.column("_lang").to_pylist(), object), own)
+                    best, rest = np.where(kept, had, best), np.minimum(np.where(kept, best, had), np.where(kept, had_rest, rest))
+                carried = [(c, n) for c, n in zip(part.columns, part.schema.names, strict=True) if n not in ("_best", "_rest", "_lang")]
+                if not last:
+                    more = [pa.array(best), pa.array(rest), pa.array(own, pa.string())]
+                    yield pa.RecordBatch.from_arrays([*[c for c, _ in carried], *more], [*[n for _, n in carried], "_best", "_rest", "_lang"])
+                    continue
+                none = (size == 0) | np.isinf(best)
+                with np.errstate(invalid="ignore"):
+                    score = np.where(none, 0.0, np.where(np.isinf(rest), 1.0, rest / (rest + best)))
+                    rate = np.where(none, 0.0, best / np.maximum(size, 1))
                 yield pa.RecordBatch.from_arrays(
-                    [*[c for c, _ in rest], pa.array(names, pa.string()), pa.array(score), pa.array(rate)],
-                    [*[n for _, n in rest], "lang_pred", "score", "phrase_rate"],
+                    [*[c for c, _ in carried], pa.array(np.where(none, "und", own), pa.string()), pa.array(score), pa.array(rate)],
+                    [*[n for _, n in carried], "lang_pred", "score", "phrase_rate"],
                 )
 
     return run
 
 
-def identify(docs: DataFrame, model: Model | None = None, keep: list[str] | None = None) -> DataFrame:
+def identify(docs: DataFrame, model: Model | list[Model] | None = None, keep: list[str] | None = None, staged: Staged | None = None) -> DataFrame:
     """Columns `keep` of docs (doc_id and text by default) with lang_pred, score and phrase_rate.
 
     A text is parsed greedily into the longest phrases that occur in a language's training text (Ziv and
@@ -188,15 +229,27 @@ def identify(docs: DataFrame, model: Model | None = None, keep: list[str] | None
     language of the least cost wins (ties: the first by name). score is runner-up cost / (runner-up + best):
     0.5 for a tie, 1 with a single language. phrase_rate is the best cost a byte. Whole texts are parsed.
 
+    Any number of languages is learned; each PASS_LANGUAGES of them are a model and a pass over the texts, which
+    are written again between passes. With one model, texts are read once and nothing moves.
+
     Null text or no letter: `und`, score 0. Nothing to learn from: all `und`. Null or repeated doc_id: a row
-    each. Empty table: empty result. lang, source and doc_id play no part in a prediction.
+    each. Empty table: empty result. lang, source and doc_id play no part in a prediction. Columns of keep that
+    have a name of an added one (or _best, _rest, _lang) are left out.
     """
     keep = keep or ["doc_id", "text"]
-    names = {"lang_pred", "score", "phrase_rate"}
+    names = {"lang_pred", "score", "phrase_rate", "_best", "_rest", "_lang"}
     keep = [c for c in keep if c.lower() not in names]
-    model = model or Model.fit(training_texts(docs))
-    sent = docs.sparkSession.sparkContext.broadcast(pickle.dumps(model))
-    source = docs.select(*keep) if "text" in keep else docs.select(*keep, "text")
-    added = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("phrase_rate", T.DoubleType())]
-    out = source.mapInArrow(_predict(sent), T.StructType([*source.schema.fields, *added]))
+    models = Model.fit_passes(training_texts(docs)) if model is None else [model] if isinstance(model, Model) else model
+    out = docs.select(*keep) if "text" in keep else docs.select(*keep, "text")
+    fields = out.schema.fields
+    kinds = lambda *pairs: [T.StructField(n, t) for n, t in pairs]
+    between = kinds(("_best", T.DoubleType()), ("_rest", T.DoubleType()), ("_lang", T.StringType()))
+    added = kinds(("lang_pred", T.StringType()), ("score", T.DoubleType()), ("phrase_rate", T.DoubleType()))
+    for i, m in enumerate(models):
+        last = i == len(models) - 1
+        sent = docs.sparkSession.sparkContext.broadcast(pickle.dumps(m))
+        out = out.mapInArrow(_predict(sent, i > 0, last), T.StructType([*fields, *(added if last else between)]))
+        if not last:
+            staged = staged or Staged(docs.sparkSession)
+            out = staged.put(out, "languages")
     return out if "text" in keep else out.drop("text")

@@ -15,7 +15,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from percola.llm.decontamination import contamination
-from percola.llm.language import Model, identify
+from percola.llm.language import Model, identify, training_texts
 from percola.llm.line_labels import Field, fit_field, quality_rules
 from percola.llm.mixing import mix, mix_plan
 from percola.llm.near_dedup import drop_near_duplicates, near_duplicates, shingle_sets
@@ -358,6 +358,35 @@ def test_languages(spark, docs, rows, none):
     assert all(r.lang == r.lang_pred for r in out)
 
 
+def test_languages_of_long_texts_are_learned(spark):
+    rng = random.Random(2)
+    text = lambda words, n: " ".join(rng.choice(words.split()) for _ in range(n))
+    de, en = "der die das und ist nicht ein", "the and of to in that is"
+    made = [(i, text(de, 25_000), "de") for i in range(6)] + [(i, text(en, 20), "en") for i in range(10, 30)]
+    made += [(i, "123 " * 30_000, "no") for i in range(40, 140)] + [(140, "123 " * 20_000 + text("ord og eller ikke", 400), "no")]
+    made += [(30, text(en, 20), "en")] * 300  # one row many times
+    docs = spark.createDataFrame(made, "doc_id long, text string, lang string")
+    assert set(training_texts(docs)) >= {"de", "en"} and all(len(x) <= 16_000 for x in training_texts(docs).values())
+    assert all(r.lang_pred == r.lang for r in identify(docs, keep=["lang", "text"]).collect() if r.lang != "no")
+    wide = training_texts(docs, train_docs=2, share_bytes=100)
+    assert len(wide["de"]) == 16_000 and len(wide["en"]) < 400
+
+
+def test_more_languages_than_a_pass(spark):
+    rng = random.Random(3)
+    words = [["".join(rng.choice("abcdefgh") for _ in range(4)) for _ in range(6)] for _ in range(70)]
+    made = [(70 * j + i, " ".join(rng.choice(w) for _ in range(40)), f"l{i:02}") for j in range(8) for i, w in enumerate(words)]
+    made += [(10_000, None, None), (10_001, "", "l01"), (10_002, "12 !", "l02")]
+    docs = spark.createDataFrame(made, "doc_id long, text string, lang string")
+    texts = training_texts(docs)
+    assert len(texts) == 70
+    keys = ("doc_id", "lang_pred", "score", "phrase_rate")
+    want = collected(identify(docs, Model.fit(texts)), *keys)
+    assert collected(identify(docs), *keys) == want and collected(identify(docs, Model.fit_passes(texts, 30)), *keys) == want
+    known = {r[0]: r[2] for r in made}
+    assert sum(known[w[0]] == w[1] for w in want) > 0.95 * 560
+
+
 def brute_statistics(t):
     w = SPACE_WORD.findall(t or "")
     seen, again = set(), 0
