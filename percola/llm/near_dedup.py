@@ -5,10 +5,11 @@ Plan, for documents D:
    a 64-coordinate MinHash signature. Equal sets become one class, the least doc_id its representative.
 2. A count-min sketch of all (coordinate, value) pairs, of bounded size, ranks them from rare to common.
    Two signatures that agree in THRESHOLD of COORDINATES must share one of their
-   PREFIX = COORDINATES - THRESHOLD + 1 rarest, so only those are posted.
+   PREFIX = COORDINATES - THRESHOLD + 1 rarest, so only those are posted. Any one order gives whole results;
+   the sketch only makes lists short.
 3. Posting lists are merged: collisions are counted over whole (4-bit) signatures, and the list
-   yields a spanning forest of the pairs at THRESHOLD or above, never all pairs. A list that the
-   sketch says is long is cut into blocks, and each pair of blocks is a task.
+   yields a spanning forest of the pairs at THRESHOLD or above, never all pairs. Postings are counted
+   exactly, summed up before they move; a list above LIST_BLOCK is cut into blocks, and each pair of blocks is a task.
 4. Components of that forest hold every candidate pair. Each is verified on full sets, in blocks
    of bounded rows and shingles, again emitting a spanning forest of the confirmed links.
 5. Components of the links, carried back to all members of each class.
@@ -133,6 +134,8 @@ def _add_up(key, table):
 
 
 def _post(sketch, log2: int):
+    """(token, doc_id, n, low): a signature under each of its PREFIX rarest tokens, by the sketch's order."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequency = np.frombuffer(sketch.value, np.int32)
         for batch in batches:
@@ -142,29 +145,29 @@ def _post(sketch, log2: int):
                 tokens = ragged.mix(_tokens(sig))
                 count = frequency[(tokens >> np.uint64(64 - log2)).astype(np.int64)]
                 first = np.lexsort((tokens, count), axis=1)[:, :PREFIX]
-                tokens, count = np.take_along_axis(tokens, first, 1), np.take_along_axis(count, first, 1)
+                tokens = np.take_along_axis(tokens, first, 1)
                 low = (ragged.mix(sig.astype(np.uint64) + np.arange(COORDINATES, dtype=np.uint64)) & np.uint64(15)).astype(np.uint8)
                 packed = (low[:, ::2] << 4) | low[:, 1::2]
-                doc = part.column("doc_id").to_numpy(zero_copy_only=False)
-                row = np.repeat(np.arange(len(doc)), PREFIX)
-                token, blocks = tokens.ravel(), -(-count.ravel().astype(np.int64) // LIST_BLOCK)
-                own = (ragged.mix(doc.astype(np.uint64)) >> np.uint64(33)).astype(np.int64)[row] % np.maximum(blocks, 1)
-                copies = np.maximum(blocks, 1)
-                other = ragged.ranges(copies)
-                row, token, own = np.repeat(row, copies), np.repeat(token, copies), np.repeat(own, copies)
-                pair = np.minimum(own, other) * (1 << 20) + np.maximum(own, other)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(token.view(np.int64)), pa.array(pair), pa.array(doc[row]),
-                        pa.array(part.column("n").to_numpy(zero_copy_only=False)[row]),
-                        ragged.binary(packed[row]),
-                    ],
-                    ["token", "pair", "doc_id", "n", "low"],
-                )
+                row = np.repeat(np.arange(part.num_rows), PREFIX)
+                doc, n = (part.column(c).to_numpy(zero_copy_only=False)[row] for c in ("doc_id", "n"))
+                yield pa.RecordBatch.from_arrays([pa.array(tokens.ravel().view(np.int64)), pa.array(doc), pa.array(n), ragged.binary(packed[row])], ["token", "doc_id", "n", "low"])
 
     return run
 
 
+def _dealt(postings: DataFrame, staged: Staged) -> DataFrame:
+    """Postings with the pair of blocks of their list: 0 for a list of one block; each posting of a longer one in every pair that its block is in."""
+    counts = postings.groupBy("token").count().where(F.col("count") > LIST_BLOCK)
+    long = staged.put(counts.select("token", F.ceil(F.col("count") / LIST_BLOCK).alias("blocks")), "long-lists")
+    # 16 MB at most; beyond that the join is Spark's choice, and it splits skewed tokens
+    some = long.count()
+    dealt = postings.join(F.broadcast(long) if some <= 1_000_000 else long, "token", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    own = F.pmod(F.xxhash64("doc_id"), F.col("blocks"))
+    dealt = dealt.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    pair = F.least("own", "other") * (1 << 31) + F.greatest("own", "other")
+    return dealt.select("token", pair.alias("pair"), "doc_id", "n", "low")
+
+
 def forest(n: np.ndarray, near, ratio: float) -> list[tuple[int, int]]:
     """A spanning forest of the graph near(i, others) -> mask: each node is compared with those that no tree has reached."""
     left = np.argsort(n, kind="stable")
@@ -316,7 +319,7 @@ def near_duplicates(
         sketch[r["block"] << _SKETCH_BLOCK : (r["block"] + 1) << _SKETCH_BLOCK] = np.frombuffer(r["counts"], np.int32)
     sketch = spark.sparkContext.broadcast(sketch.tobytes())
 
-    postings = reps.mapInArrow(_post(sketch, log2), "token long, pair long, doc_id long, n long, low binary")
+    postings = _dealt(reps.mapInArrow(_post(sketch, log2), "token long, doc_id long, n long, low binary"), staged)
     postings = postings.repartition(F.col("token"), F.col("pair")).sortWithinPartitions("token", "pair")
     candidates = staged.put(postings.mapInArrow(_merge(percent / 100), "src long, dst long").where("src <> dst").distinct(), "candidates")
     clusters = staged.put(connected_components(candidates, staged=staged), "clusters")
@@ -329,7 +332,7 @@ def near_duplicates(
     blocks = staged.put(blocks, "cluster-blocks")
     tasks = sized.join(blocks, "cluster").withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")))
     tasks = tasks.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    pair = F.least("own", "other") * (1 << 20) + F.greatest("own", "other")
+    pair = F.least("own", "other") * (1 << 31) + F.greatest("own", "other")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(sized.select("doc_id"), "doc_id", "left_semi")
     tasks = tasks.select("doc_id", "cluster", pair.alias("pair")).join(texts, "doc_id")
     tasks = tasks.repartition(F.col("cluster"), F.col("pair")).sortWithinPartitions("cluster", "pair")

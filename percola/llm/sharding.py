@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from percola.session import Staged
 
 KEY_BITS, FIRST_BITS, NEXT_BITS = 63, 14, 8
+#: Lanes of a shard are dealt from so many values of a hash; a lane has about LANE_BYTES.
+LANE_BITS, LANE_BYTES = 20, 256 << 20
 
 
 def row_size(text: Column) -> Column:
@@ -80,14 +82,18 @@ def shard_of(key: Column, keys: list[int]) -> Column:
 
 
 def shard(
-    docs: DataFrame, n_shards: int = 40, tolerance: float = 0.001, lanes: int = 64, staged: Staged | None = None
+    docs: DataFrame, n_shards: int = 40, tolerance: float = 0.001, lanes: int = 64, lane_bytes: int = LANE_BYTES, staged: Staged | None = None
 ) -> DataFrame:
     """docs' columns plus size, text_crc32, law ('bytes'), shard, slot and grown_shard (null under this law).
 
     A narrow table of keys and sizes is written once; histogram rounds read it until every
     splitter is within tolerance; then rows are exchanged once, by shard and lane, and a
     slot is the lane's start plus the row's place in it. Lanes spread a shard over tasks and
-    a group of equal texts over lanes. An added column replaces one of docs of that name.
+    a group of equal texts over lanes; there are `lanes` at least, and as many as the
+    counted bytes need for lanes of about lane_bytes, so that tasks stay small however large the corpus is. An added column replaces one of docs of that name.
+
+    Equal texts are neighbours in the sort, so they share a shard unless a boundary falls between them: then
+    nearly equal sizes win, as a group may be larger than a shard.
 
     Null text: size 16, no crc. Null doc_id: a value of its own in the key. Repeated rows
     have one key, so they share a shard, and take different slots. A document above a shard's
@@ -96,17 +102,20 @@ def shard(
     staged = staged or Staged(docs.sparkSession)
     added = {"size", "text_crc32", "law", "shard", "slot", "grown_shard"}
     kept = [c for c in docs.columns if c.lower() not in added]
-    key, lane = sort_key(F.col("text"), F.col("doc_id")), F.pmod(F.xxhash64("doc_id", "text"), F.lit(lanes)).cast("int")
-    keyed = staged.put(docs.select(key.alias("key"), row_size(F.col("text")).alias("size"), lane.alias("lane")), "keys")
+    key, hashed = sort_key(F.col("text"), F.col("doc_id")), F.xxhash64("doc_id", "text").bitwiseAND((1 << LANE_BITS) - 1).cast("int")
+    keyed = staged.put(docs.select(key.alias("key"), row_size(F.col("text")).alias("size"), hashed.alias("hashed")), "keys")
     keys = splitters(keyed, n_shards, tolerance)
+    total = keyed.agg(F.sum("size")).first()[0] or 0
+    lanes = min(1 << LANE_BITS, max(lanes, -(-total // (n_shards * lane_bytes))))
+    lane = (hashed % lanes).cast("int")
     lane_start = F.sum("count").over(Window.partitionBy("_s").orderBy("_l").rowsBetween(Window.unboundedPreceding, -1))
-    starts = keyed.groupBy(shard_of(F.col("key"), keys).alias("_s"), F.col("lane").alias("_l")).count().select("_s", "_l", F.coalesce(lane_start, F.lit(0)).alias("_start"))
+    starts = keyed.groupBy(shard_of(F.col("key"), keys).alias("_s"), (F.col("hashed") % lanes).cast("int").alias("_l")).count().select("_s", "_l", F.coalesce(lane_start, F.lit(0)).alias("_start"))
     rows = docs.select(
         F.struct(*kept).alias("_row"), row_size(F.col("text")).alias("size"), F.crc32(F.col("text").cast("binary")).alias("text_crc32"),
         shard_of(key, keys).alias("shard"), key.alias("_key"), lane.alias("_lane"),
     )
     place = F.row_number().over(Window.partitionBy("shard", "_lane").orderBy("_key", "_row.doc_id")) - 1
-    # n_shards * lanes rows at most, whatever the input
+    # a row for each lane: one for each lane_bytes of the corpus, or `lanes` a shard
     placed = rows.withColumn("slot", place).join(F.broadcast(starts), (F.col("shard") == F.col("_s")) & (F.col("_lane") == F.col("_l")))
     return placed.select(
         "_row.*", "size", "text_crc32", F.lit("bytes").alias("law"), F.col("shard").cast("int").alias("shard"),
