@@ -51,21 +51,37 @@ def average_rank(df: DataFrame, column: str, name: str, staged: Staged | None =
     return df.join(places, F.col(column) == F.col("value"), "left").drop("value")
 
 
-def exact_quantiles(df: DataFrame, column: str, probabilities: list[float], staged: Staged | None = None) -> list[float | None]:
-    """Exact quantiles with linear interpolation; nulls are ignored; None for an empty column."""
+def column_quantiles(df: DataFrame, wanted: dict[str, list[float]], staged: Staged | None = None) -> dict[str, list[float | None]]:
+    """Exact quantiles of several numeric columns with linear interpolation, from one pass over df.
+
+    Values of all columns are counted together, so one running total serves them all. Nulls are ignored; None for a
+    column without values.
+    """
     staged = staged or Staged(df.sparkSession)
-    places = staged.put(value_places(df, column, staged), "places")
-    total = places.agg(F.sum("n")).first()[0]
-    if not total:
-        return [None] * len(probabilities)
-    at = sorted({i for p in probabilities for i in (int((total - 1) * p), min(total - 1, int((total - 1) * p) + 1))})
-    test = [((F.col("before") <= i) & (F.lit(i) < F.col("before") + F.col("n"))) for i in at]
-    rows = places.select(F.col("value").cast("double").alias("v"), F.array(*test).alias("hit")).where(F.array_contains("hit", True)).collect()
-    value = {i: r["v"] for k, i in enumerate(at) for r in rows if r["hit"][k]}
-    out = []
-    for p in probabilities:
-        x = (total - 1) * p
-        lo = int(x)
-        hi = min(total - 1, lo + 1)
-        out.append(value[lo] + (value[hi] - value[lo]) * (x - lo))
+    names = list(wanted)
+    each = F.explode(F.array(*[F.struct(F.lit(i).alias("c"), F.col(n).cast("double").alias("value")) for i, n in enumerate(names)]))
+    counts = df.select(each.alias("x")).where("x.value is not null").groupBy("x.c", "x.value").agg(F.count("*").alias("n"))
+    places = staged.put(running_total(counts, [F.col("c"), F.col("value")], F.col("n"), "before", staged), "places")
+    # a row for each column
+    ends = {r["c"]: (r["first"], r["total"]) for r in places.groupBy("c").agg(F.min("before").alias("first"), F.sum("n").alias("total")).collect()}
+    at = {(i, int((ends[i][1] - 1) * p) + k) for i, n in enumerate(names) if i in ends for p in wanted[n] for k in (0, 1)}
+    at = sorted((i, x) for i, x in at if x < ends[i][1])
+    inside = [(F.col("c") == i) & (F.col("before") <= ends[i][0] + x) & (F.lit(ends[i][0] + x) < F.col("before") + F.col("n")) for i, x in at]
+    rows = places.select("value", F.array(*inside).alias("hit")).where(F.array_contains("hit", True)).collect() if at else []
+    value = {key: r["value"] for k, key in enumerate(at) for r in rows if r["hit"][k]}
+    out: dict[str, list[float | None]] = {}
+    for i, n in enumerate(names):
+        out[n] = []
+        for p in wanted[n]:
+            if i not in ends:
+                out[n].append(None)
+                continue
+            x = (ends[i][1] - 1) * p
+            lo = value[(i, int(x))]
+            out[n].append(lo + (value.get((i, int(x) + 1), lo) - lo) * (x - int(x)))
     return out
+
+
+def exact_quantiles(df: DataFrame, column: str, probabilities: list[float], staged: Staged | None = None) -> list[float | None]:
+    """Exact quantiles of one column (see column_quantiles)."""
+    return column_quantiles(df, {column: probabilities}, staged)[column]

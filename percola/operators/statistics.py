@@ -5,17 +5,17 @@ from __future__ import annotations
 from functools import reduce
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from percola.operators.ranking import average_rank, exact_quantiles
+from percola.operators.ranking import average_rank, column_quantiles
 from percola.session import Staged
 
 
 def spearman(df: DataFrame, x: str, y: str, staged: Staged | None = None) -> DataFrame:
     """Rank correlation over rows where both are present, ties at their average rank."""
     staged = staged or Staged(df.sparkSession)
-    both = df.select(F.col(x).alias("x"), F.col(y).alias("y")).where("x is not null and y is not null")
+    both = staged.put(df.select(F.col(x).alias("x"), F.col(y).alias("y")).where("x is not null and y is not null"), "scores")
     ranked = average_rank(average_rank(both, "x", "rx", staged), "y", "ry", staged)
     return ranked.agg(F.corr("rx", "ry").alias("spearman"))
 
@@ -25,8 +25,12 @@ def half_even(n: float) -> int:
     return round(n)
 
 
-def top_overlap(df: DataFrame, low: str, high: str, fraction: float = 0.05, key: str = "node") -> DataFrame:
-    """(n_top, n_both, jaccard) of the k rows least in `low` and the k greatest in `high`, k = max(1, fraction of rows); ties by key."""
+def top_overlap(df: DataFrame, low: str, high: str, fraction: float = 0.05, key: str = "node", staged: Staged | None = None) -> DataFrame:
+    """(n_top, n_both, jaccard) of the k rows least in `low` and the k greatest in `high`, k = max(1, fraction of rows); ties by key.
+
+    The three columns are written once; the count and both sorts read them.
+    """
+    df = (staged or Staged(df.sparkSession)).put(df.select(*dict.fromkeys([key, low, high])), "scores")
     n = df.count()
     k = max(1, half_even(fraction * n))
     a = df.where(F.col(low).isNotNull()).orderBy(low, key).limit(k).select(key)
@@ -37,10 +41,12 @@ def top_overlap(df: DataFrame, low: str, high: str, fraction: float = 0.05, key:
 
 
 def hidden_vulnerable(df: DataFrame, score: str, degree: str, betweenness: str, staged: Staged | None = None) -> DataFrame:
-    """Rows in the lowest quarter of score whose degree and betweenness are at most their medians."""
-    q = exact_quantiles(df, score, [0.25], staged)[0]
-    d, b = exact_quantiles(df, degree, [0.5], staged)[0], exact_quantiles(df, betweenness, [0.5], staged)[0]
-    return df.where((F.col(score) <= F.lit(q)) & (F.col(degree) <= F.lit(d)) & (F.col(betweenness) <= F.lit(b)))
+    """Rows in the lowest quarter of score whose degree and betweenness are at most their medians.
+
+    df is evaluated twice: for the three quantiles at once, and for the rows.
+    """
+    q = column_quantiles(df, {score: [0.25], degree: [0.5], betweenness: [0.5]}, staged)
+    return df.where((F.col(score) <= F.lit(q[score][0])) & (F.col(degree) <= F.lit(q[degree][0])) & (F.col(betweenness) <= F.lit(q[betweenness][0])))
 
 
 def rank_disagreement(df: DataFrame, first: str, second: str) -> DataFrame:
@@ -66,7 +72,9 @@ def coordinate_check(df: DataFrame, lat: str = "lat", lon: str = "lon") -> DataF
 
 
 def group_mean(df: DataFrame, group: str, value: str, name: str) -> DataFrame:
-    return df.withColumn(name, F.avg(value).over(Window.partitionBy(group)))
+    """df with the mean of its group (null is a group): summed up in tasks before it moves, then joined, so that no group is one task's."""
+    means = df.groupBy(F.col(group).alias("_group")).agg(F.avg(value).alias(name))
+    return df.join(means, F.col(group).eqNullSafe(F.col("_group")), "left").drop("_group")
 
 
 def least_squares(df: DataFrame, target: str, predictors: list[str]) -> tuple[np.ndarray, float | None]:

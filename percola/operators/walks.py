@@ -49,31 +49,31 @@ def pagerank(
 ) -> DataFrame:
     """(node, rank): uniform start; nodes without out-links share theirs with all; divided by their sum.
 
-    A step is one join of ranks with out-links and one aggregation by target. It reads the ranks twice, for what
-    moves and for what dangling nodes hold (a one-row aggregate), so every second step is written. Without a number of
-    iterations, every test_every steps the largest change is held against the tolerance. Steps keep the sum
-    at 1 but for rounding, so that one division at the end is enough.
+    Links are written once in buckets of their source, so that they never move again. A step joins the ranks to them
+    and sums what arrives, together with a zero for every node, in one aggregation; its narrow result is written, so
+    a step is computed once. What nodes without links hold is a one-row sum over the written ranks. Without a number
+    of iterations, every test_every steps the largest change is held against the tolerance. Steps keep the
+    sum at 1 but for rounding, so that one division at the end is enough.
     """
     staged = staged or Staged(arcs.sparkSession)
+    arcs = staged.put(arcs.select("src", "dst"), "arcs")
     nodes = staged.put((arc_nodes(arcs) if nodes is None else nodes).select("node").distinct(), "nodes")
     n = nodes.count()
-    links = staged.put(transition(arcs), "links")
+    links = staged.put_bucketed(transition(arcs), "links", "src")
     lone = nodes.join(links.select(F.col("src").alias("node")).distinct(), "node", "left_anti").withColumn("lone", F.lit(1.0))
-    nodes = staged.put(nodes.join(lone, "node", "left").select("node", F.coalesce("lone", F.lit(0.0)).alias("lone")), "marked")
-    rank = nodes.select("node", "lone", F.lit(1.0 / max(1, n)).alias("rank"))
+    rank = nodes.join(lone, "node", "left").select("node", F.coalesce("lone", F.lit(0.0)).alias("lone"), F.lit(1.0 / max(1, n)).alias("rank"))
+    rank = staged.put(rank, "rank")
     for step in range(1, (most if iterations is None else iterations) + 1):
-        before = rank
-        moved = rank.select(F.col("node").alias("src"), "rank").join(links, "src").groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("rank") * F.col("w")).alias("in"))
+        sent = rank.select(F.col("node").alias("src"), "rank").join(links, "src").select(F.col("dst").alias("node"), F.lit(0.0).alias("lone"), (F.col("rank") * F.col("w")).alias("x"))
+        every = sent.union(rank.select("node", "lone", F.lit(0.0).alias("x"))).groupBy("node").agg(F.max("lone").alias("lone"), F.sum("x").alias("x"))
         held = rank.agg(F.coalesce(F.sum(F.col("rank") * F.col("lone")), F.lit(0.0)).alias("held"))
-        new = nodes.join(moved, "node", "left").crossJoin(F.broadcast(held))
-        rank = new.select("node", "lone", (alpha * (F.coalesce("in", F.lit(0.0)) + F.col("held") / n) + (1 - alpha) / n).alias("rank"))
-        testing = iterations is None and step % test_every == 0
-        if step % 2 == 0 or testing:
-            rank = staged.put(rank, "rank")
-        if testing:
+        new = every.crossJoin(F.broadcast(held)).select("node", "lone", (alpha * (F.col("x") + F.col("held") / n) + (1 - alpha) / n).alias("rank"))
+        before, rank = rank, staged.put(new, "rank")
+        if iterations is None and step % test_every == 0:
             change = rank.alias("a").join(before.alias("b"), "node").agg(F.max(F.abs(F.col("a.rank") - F.col("b.rank")))).first()[0]
             if change is None or change < tolerance:
                 break
+        staged.drop(before)
     return rank.crossJoin(F.broadcast(rank.agg(F.sum("rank").alias("total")))).select("node", (F.col("rank") / F.col("total")).alias("rank"))
 
 
@@ -104,10 +104,10 @@ def quantum_average(g: DataFrame, steps: int, staged: Staged | None = None) -> D
     return series.groupBy("node").agg(F.avg("iq").alias("iq_mean"), F.var_pop("iq").alias("iq_var"))
 
 
-def walk_pagerank(arcs: DataFrame, alphas: list[float], steps: int | None = None, key: str = "graph", reference: float | None = None) -> DataFrame:
+def walk_pagerank(arcs: DataFrame, alphas: list[float], steps: int | None = None, key: str = "graph") -> DataFrame:
     """(graph, alpha, node, classical, quantum, quantum_var, steps) for each graph of arcs(graph, src, dst) and alpha: a task each.
 
-    With `reference`, that alpha's settled number of steps is used for all alphas of a graph.
+    A column `steps` of arcs gives each graph its number of steps; else `steps` does, and without either walks go on until they settle.
     """
     spark = arcs.sparkSession
     ship(spark)
@@ -120,26 +120,34 @@ def walk_pagerank(arcs: DataFrame, alphas: list[float], steps: int | None = None
             raise ValueError(f"{len(nodes)} nodes; a walk takes at most {MOST_WALK_NODES}")
         alpha = table.column("alpha")[0].as_py()
         a, b = ends[: len(src)], ends[len(src) :]
-        fixed = steps
-        if reference is not None and fixed is None:
-            fixed = kernels.quantum_walk(kernels.google_matrix(len(nodes), a, b, reference))[2]
+        fixed = table.column("steps")[0].as_py()
         matrix = kernels.google_matrix(len(nodes), a, b, alpha)
         mean, var, used = kernels.quantum_walk(matrix, fixed)
         n = len(nodes)
         return pa.table({key: pa.array([name[0].as_py()] * n, table.schema.field(key).type), "alpha": pa.array([alpha] * n), "node": pa.array(nodes.astype(np.int64)), "classical": pa.array(kernels.power_iteration(matrix)), "quantum": pa.array(mean), "quantum_var": pa.array(var), "steps": pa.array([used] * n, pa.int64())})
 
-    work = arcs.select(key, F.col("src").cast("long"), F.col("dst").cast("long"), F.explode(F.array(*[F.lit(float(a)) for a in alphas])).alias("alpha"))
+    many = F.col("steps") if "steps" in arcs.columns else F.lit(steps)
+    work = arcs.select(key, F.col("src").cast("long"), F.col("dst").cast("long"), many.cast("long").alias("steps"), F.explode(F.array(*[F.lit(float(a)) for a in alphas])).alias("alpha"))
     return work.groupBy(key, "alpha").applyInArrow(part, f"`{key}` {kind}, alpha double, node long, classical double, quantum double, quantum_var double, steps long")
 
 
 def damping_sweep(arcs: DataFrame, alphas: list[float] | None = None, reference: float = 0.85, key: str = "graph") -> DataFrame:
-    """(graph, alpha, fidelity_quantum, fidelity_classical, diff_quantum, diff_classical) against the reference alpha."""
+    """(graph, alpha, fidelity_quantum, fidelity_classical, diff_quantum, diff_classical) against the reference alpha.
+
+    The reference walk of a graph settles once; the other alphas take as many steps.
+    """
     from percola.operators.statistics import fidelity, largest_difference
 
     alphas = [float(a) for a in np.linspace(0.01, 0.98, 30)] if alphas is None else alphas
     staged = Staged(arcs.sparkSession)
-    every = staged.put(walk_pagerank(arcs, sorted({*alphas, reference}), key=key, reference=reference), "walks")
-    ref = every.where(F.col("alpha") == reference).select(key, "node", F.col("classical").alias("c0"), F.col("quantum").alias("q0"))
+    settled = staged.put(walk_pagerank(arcs, [reference], key=key), "reference")
+    others = sorted({*alphas} - {reference})
+    if others:
+        timed = arcs.select(key, "src", "dst").join(settled.groupBy(key).agg(F.max("steps").alias("steps")), key)
+        every = staged.put(settled.unionByName(walk_pagerank(timed, others, key=key)), "walks")
+    else:
+        every = settled
+    ref = settled.select(key, "node", F.col("classical").alias("c0"), F.col("quantum").alias("q0"))
     return every.where(F.col("alpha").isin(alphas)).join(ref, [key, "node"]).groupBy(key, "alpha").agg(
         fidelity("quantum", "q0").alias("fidelity_quantum"), fidelity("classical", "c0").alias("fidelity_classical"),
         largest_difference("quantum", "q0").alias("diff_quantum"), largest_difference("classical", "c0").alias("diff_classical"),

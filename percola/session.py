@@ -29,21 +29,27 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, **conf: st
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or, where that is unset, a local one for tests."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or, where that is unset and all run in one process, a local one."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if at:
         return at.rstrip("/")
+    master = spark.conf.get("spark.master", "")
+    if not (master == "local" or master.startswith("local[")):
+        raise ValueError(f"set spark.checkpoint.dir to a folder that driver and executors share; a local one would not do for master {master}")
     at = f"file://{tempfile.gettempdir()}/percola-shared-{os.getuid()}"
     spark.conf.set("spark.checkpoint.dir", at)
     return at
 
 
 _bases: list[str] = []
+_tables: list[str] = []
 
 
 def clean(spark: SparkSession) -> None:
     """Delete every table that this process has staged. Results that still read them are lost, so call it last."""
     jvm = spark._jvm
+    while _tables:
+        spark.sql(f"DROP TABLE IF EXISTS {_tables.pop()}")
     while _bases:
         path = jvm.org.apache.hadoop.fs.Path(_bases.pop())
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
@@ -72,6 +78,17 @@ class Staged:
         out._staged_at = at
         return out
 
+    def put_bucketed(self, df: DataFrame, name: str, by: str) -> DataFrame:
+        """As put, in buckets of `by`, one for each shuffle partition: joins on it that follow don't move this side."""
+        at = self.path(name)
+        table = f"{name}_{uuid.uuid4().hex}"
+        buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        df.write.option("compression", "zstd").option("path", at).bucketBy(buckets, by).sortBy(by).saveAsTable(table)
+        _tables.append(table)
+        out = self.spark.table(table)
+        out._staged_at = at
+        return out
+
     def drop(self, *frames: DataFrame) -> None:
         """Delete tables that nothing will read again."""
         jvm = self.spark._jvm

@@ -124,13 +124,22 @@ def test_runs_resume_by_configuration(spark, net):
     assert sorted(map(str, many)) == sorted(map(str, few))
 
 
+def test_costs(spark):
+    config = RunConfig(btw_update=5)
+    work = robustness.combos(spark, list(config.protocols), [1, 9], 10)
+    cost = {(r.protocol, r.m): r.cost for r in robustness.with_cost(work, 100, 200, config).collect()}
+    assert cost["adap_betweenness", None] > cost["betweenness", None] > cost["random", None] > 0 and cost["local_sensing", 9] > cost["local_sensing", 1]
+    shares = {r.protocol: (r.runs, r.share) for r in robustness.cost_shares(work, 100, 200, config).collect()}
+    assert sum(s for _, s in shares.values()) == pytest.approx(1) and shares["betweenness"][0] == 1 and shares["local_sensing"][0] == 20
+    total = sum(cost[r.protocol, r.m] for r in work.collect())
+    assert shares["random"][1] == pytest.approx(10 * cost["random", None] / total)
+
+
 def test_configurations():
     with pytest.raises(ValueError):
         RunConfig(protocols=("nothing",))
     with pytest.raises(ValueError):
         RunConfig(m_min=3, m_max=2)
-    n, parts = robustness.cost_breakdown(["random", "betweenness", "local_sensing"], [1, 2], 10, 100, 200)
-    assert n == 31 and sum(s for *_, s in parts) == pytest.approx(1) and parts[0][2] >= parts[-1][2]
     config = {"seed": 5, "btw_k": 7, "networks": {"b": {"label": "B", "btw_k": None}, "a": {"label": "A", "n_attacks": 2}}, "order": ["a"]}
     plan = launcher.planned(config)
     assert [p[0] for p in plan] == ["a", "b"] and plan[0][1].btw_k == 7 and plan[1][1].btw_k is None
