@@ -87,6 +87,17 @@ def node_scores_wide(scores: DataFrame, protocols: list[str], m_values: list[int
     return scores.groupBy("node").agg(*cols)
 
 
+def in_order(df: DataFrame) -> DataFrame:
+    """Result rows by label, protocol, m (none first) and what else tells them apart."""
+    keys = [c for c in (*REPLICATE, "removed", "node") if c in df.columns]
+    return df.orderBy(*[F.col(c).asc_nulls_first() for c in keys])
+
+
+def series(df: DataFrame, value: str, key: str = "node") -> DataFrame:
+    """Rows from the greatest value down, ties by key: what a plot of it shows from left to right."""
+    return df.orderBy(F.desc(value), key)
+
+
 def average_over_m(frame: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
     return frame.groupBy(*keys).agg(*[F.avg(v).alias(v) for v in values])
 

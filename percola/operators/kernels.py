@@ -135,18 +135,19 @@ def order_adaptive_degree(g: Csr, rng: np.random.Generator) -> np.ndarray:
     return np.array(order, np.int64)
 
 
-def betweenness(g: Csr, sources: np.ndarray | None = None, cells: int = 2_000_000) -> np.ndarray:
+def betweenness(g: Csr, sources: np.ndarray | None = None, cells: int = 2_000_000, arcs: int = 8_000_000) -> np.ndarray:
     """Sums over sources of dependencies (ordered pairs, unnormalised); all nodes are sources by default.
 
     A block of sources goes through its breadth-first levels together. A (source, node) pair is one number,
     a level is the array of pairs it reaches, and only arcs that leave it are looked at: path counts add up
-    along them forwards, dependencies backwards.
+    along them forwards, dependencies backwards. A block has about `cells` pairs, and `arcs` of their arcs, at most,
+    which bounds memory on sparse and dense graphs alike.
     """
     n = g.n
     out = np.zeros(n)
     sources = np.arange(n) if sources is None else np.asarray(sources)
     deg = g.degrees()
-    block = max(1, cells // max(1, n))
+    block = max(1, min(cells // max(1, n), arcs // max(1, len(g.to))))
 
     def leaving(pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The pairs at the other ends of all arcs from pairs, and the index of the pair that each leaves."""

@@ -35,15 +35,16 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def with_views(body: str, recursive: bool = False, **parts: str) -> str:
-    return f"WITH {'RECURSIVE ' if recursive else ''}" + ", ".join(f"{k} AS ({q})" for k, q in parts.items()) + " " + body
+    keyed = {"c": "c(node, component) USING KEY (node)", "cc": "cc(k, node, component) USING KEY (k, node)"} if recursive else {}
+    return f"WITH {'RECURSIVE ' if recursive else ''}" + ", ".join(f"{keyed[k]} AS ({q})" if k in keyed else f"{k} AS MATERIALIZED ({q})" for k, q in parts.items()) + " " + body
 
 
-CP45, CP40, CP48 = (v.COPURCHASE_SQL.format(x) for x in (45, 40, 48))
+CP = v.COPURCHASE_SQL
 PS, EF, UF = v.PART_SUPPLIER_SQL, v.EVENT_FLOW_SQL, v.USER_FLOW_SQL
 SYM = "SELECT src AS node, dst AS other FROM e UNION ALL SELECT dst, src FROM e"
 DEG = "SELECT node, count(*) AS degree FROM sym GROUP BY node"
-REACH = "SELECT node, node AS root FROM (SELECT DISTINCT node FROM sym) UNION SELECT s.other, r.root FROM reach r JOIN sym s ON s.node = r.node"
-COMP = "SELECT node, min(root) AS component FROM reach GROUP BY node"
+# each round, a node takes the least label of the neighbours that changed; a table keyed by node holds the labels
+COMP = "SELECT DISTINCT node, node AS component FROM sym UNION SELECT s.node, min(w.component) FROM c w JOIN sym s ON s.other = w.node JOIN recurring.c r ON r.node = s.node WHERE w.component < r.component GROUP BY s.node"
 
 # --- cleaning, projections, filters -------------------------------------------------------------
 
@@ -58,27 +59,27 @@ def edges_self_loop_count(spark: SparkSession, sf: str) -> DataFrame:
     return graph.self_loop_count(v.event_flow(spark, sf))
 
 
-@query(with_views("SELECT count(*) AS n_edges FROM e", e=CP40))
-def edge_count(spark: SparkSession, sf: str, least: float | None = 40) -> DataFrame:
-    return graph.edge_count(v.copurchase(spark, sf, least))
+@query(with_views("SELECT count(*) AS n_edges FROM e", e=CP))
+def edge_count(spark: SparkSession, sf: str) -> DataFrame:
+    return graph.edge_count(v.copurchase(spark, sf))
 
 
-@query(with_views("SELECT a.src, a.dst FROM e a JOIN k x ON a.src = x.node JOIN k y ON a.dst = y.node", e=CP40, k="SELECT p_partkey AS node FROM part WHERE p_size <= 25"))
-def induced_subgraph(spark: SparkSession, sf: str, least: float | None = 40) -> DataFrame:
+@query(with_views("SELECT a.src, a.dst FROM e a JOIN k x ON a.src = x.node JOIN k y ON a.dst = y.node", e=CP, k="SELECT p_partkey AS node FROM part WHERE p_size <= 25"))
+def induced_subgraph(spark: SparkSession, sf: str) -> DataFrame:
     kept = v.table(spark, sf, "part").where("p_size <= 25").select(F.col("p_partkey").alias("node"))
-    return graph.induced_subgraph(v.copurchase(spark, sf, least), kept)
+    return graph.induced_subgraph(v.copurchase(spark, sf), kept)
 
 
-@query(with_views("SELECT src, dst FROM e WHERE src NOT IN (SELECT node FROM k) AND dst NOT IN (SELECT node FROM k)", e=CP40, k="SELECT p_partkey AS node FROM part WHERE p_size <= 10"))
-def remove_nodes(spark: SparkSession, sf: str, least: float | None = 40) -> DataFrame:
+@query(with_views("SELECT src, dst FROM e WHERE src NOT IN (SELECT node FROM k) AND dst NOT IN (SELECT node FROM k)", e=CP, k="SELECT p_partkey AS node FROM part WHERE p_size <= 10"))
+def remove_nodes(spark: SparkSession, sf: str) -> DataFrame:
     gone = v.table(spark, sf, "part").where("p_size <= 10").select(F.col("p_partkey").alias("node"))
-    return graph.remove_nodes(v.copurchase(spark, sf, least), gone)
+    return graph.remove_nodes(v.copurchase(spark, sf), gone)
 
 
-@query(with_views("SELECT DISTINCT s.other AS node FROM sym s JOIN k ON s.node = k.node", e=CP40, sym=SYM, k="SELECT p_partkey AS node FROM part WHERE p_size = 7"))
-def neighbour_expand(spark: SparkSession, sf: str, least: float | None = 40) -> DataFrame:
+@query(with_views("SELECT DISTINCT s.other AS node FROM sym s JOIN k ON s.node = k.node", e=CP, sym=SYM, k="SELECT p_partkey AS node FROM part WHERE p_size = 7"))
+def neighbour_expand(spark: SparkSession, sf: str) -> DataFrame:
     seeds = v.table(spark, sf, "part").where("p_size = 7").select(F.col("p_partkey").alias("node"))
-    return graph.neighbours_of(v.copurchase(spark, sf, least), seeds)
+    return graph.neighbours_of(v.copurchase(spark, sf), seeds)
 
 
 HAVERSINE = "2 * 6371.0 * asin(sqrt(least(1.0, pow(sin(radians(lat - 48.86) / 2), 2) + cos(radians(48.86)) * cos(radians(lat)) * pow(sin(radians(lon - 2.35) / 2), 2))))"
@@ -151,9 +152,9 @@ def degree(spark: SparkSession, sf: str) -> DataFrame:
     return graph.degree(v.part_supplier(spark, sf))
 
 
-@query(with_views("SELECT p_partkey AS node, coalesce(degree, 0) AS degree FROM part LEFT JOIN d ON p_partkey = node", e=CP45, sym=SYM, d=DEG))
-def degree_with_isolates(spark: SparkSession, sf: str, least: float | None = 45) -> DataFrame:
-    return graph.degree(v.copurchase(spark, sf, least), v.table(spark, sf, "part").select(F.col("p_partkey").alias("node")))
+@query(with_views("SELECT p_partkey AS node, coalesce(degree, 0) AS degree FROM part LEFT JOIN d ON p_partkey = node", e=CP, sym=SYM, d=DEG))
+def degree_with_isolates(spark: SparkSession, sf: str) -> DataFrame:
+    return graph.degree(v.copurchase(spark, sf), v.table(spark, sf, "part").select(F.col("p_partkey").alias("node")))
 
 
 @query(with_views("SELECT node, sum(i)::BIGINT AS in_degree, sum(o)::BIGINT AS out_degree FROM (SELECT src AS node, 0 AS i, 1 AS o FROM e UNION ALL SELECT dst, 1, 0 FROM e) GROUP BY node", e="SELECT DISTINCT src, dst FROM (" + EF + ")"))
@@ -161,20 +162,20 @@ def in_out_degree(spark: SparkSession, sf: str) -> DataFrame:
     return graph.in_out_degree(v.event_flow(spark, sf).distinct()).select("node", F.col("in_degree").cast("long"), F.col("out_degree").cast("long"))
 
 
-@query(with_views("SELECT node, row_number() OVER (ORDER BY degree DESC, node) AS rank FROM d", e=CP45, sym=SYM, d=DEG))
-def order_degree_static(spark: SparkSession, sf: str, least: float | None = 45) -> DataFrame:
-    return ranking.positions(graph.degree(v.copurchase(spark, sf, least)), [-F.col("degree"), F.col("node")]).select("node", "rank")
+@query(with_views("SELECT node, row_number() OVER (ORDER BY degree DESC, node) AS rank FROM d", e=CP, sym=SYM, d=DEG))
+def order_degree_static(spark: SparkSession, sf: str) -> DataFrame:
+    return ranking.positions(graph.degree(v.copurchase(spark, sf)), [-F.col("degree"), F.col("node")]).select("node", "rank")
 
 
-@query(with_views("SELECT node, row_number() OVER (ORDER BY md5('7|1|' || node::VARCHAR)) AS rank FROM (SELECT DISTINCT node FROM sym)", e=CP45, sym=SYM))
-def order_random_hash(spark: SparkSession, sf: str, least: float | None = 45) -> DataFrame:
-    nodes = graph.endpoints(v.copurchase(spark, sf, least))
+@query(with_views("SELECT node, row_number() OVER (ORDER BY md5('7|1|' || node::VARCHAR)) AS rank FROM (SELECT DISTINCT node FROM sym)", e=CP, sym=SYM))
+def order_random_hash(spark: SparkSession, sf: str) -> DataFrame:
+    nodes = graph.endpoints(v.copurchase(spark, sf))
     return ranking.positions(nodes, [F.md5(F.concat(F.lit("7|1|"), F.col("node").cast("string")).cast("binary"))])
 
 
-@query(with_views("SELECT row_number() OVER (ORDER BY node) AS new_id, node AS original FROM (SELECT DISTINCT node FROM sym)", e=CP45, sym=SYM))
-def relabel_numeric(spark: SparkSession, sf: str, least: float | None = 45) -> DataFrame:
-    return graph.relabel(graph.endpoints(v.copurchase(spark, sf, least)))[0]
+@query(with_views("SELECT row_number() OVER (ORDER BY node) AS new_id, node AS original FROM (SELECT DISTINCT node FROM sym)", e=CP, sym=SYM))
+def relabel_numeric(spark: SparkSession, sf: str) -> DataFrame:
+    return graph.relabel(graph.endpoints(v.copurchase(spark, sf)))[0]
 
 
 @query(with_views("SELECT row_number() OVER (ORDER BY original_id) AS new_id, original_id AS original FROM c", c=v.PLACES_SQL))
@@ -188,75 +189,84 @@ COMMON = "SELECT e.src, e.dst, count(*) AS c FROM e JOIN sym a ON a.node = e.src
 PAIRS = "SELECT e.src, e.dst, coalesce(c, 0) AS n_common, x.degree - 1 + y.degree - 1 - coalesce(c, 0) AS n_union FROM e LEFT JOIN cm ON e.src = cm.src AND e.dst = cm.dst JOIN d x ON x.node = e.src JOIN d y ON y.node = e.dst"
 
 
-@query(with_views("SELECT src, dst, n_common, n_union, round(CASE WHEN n_union > 0 THEN n_common / n_union END, 8) AS similarity FROM pr", e=CP40, sym=SYM, d=DEG, cm=COMMON, pr=PAIRS))
-def edge_jaccard(spark: SparkSession, sf: str, least: float | None = 40) -> DataFrame:
-    return graph.edge_neighbourhoods(v.copurchase(spark, sf, least)).withColumn("similarity", F.round("similarity", 8))
+@query(with_views("SELECT src, dst, n_common, n_union, round(CASE WHEN n_union > 0 THEN n_common / n_union END, 8) AS similarity FROM pr", e=CP, sym=SYM, d=DEG, cm=COMMON, pr=PAIRS))
+def edge_jaccard(spark: SparkSession, sf: str) -> DataFrame:
+    return graph.edge_neighbourhoods(v.copurchase(spark, sf)).withColumn("similarity", F.round("similarity", 8))
 
 
 @query(with_views(
     "SELECT node, count(*) AS degree, round(sum(CASE WHEN n_union > 0 THEN 1 - n_common / n_union ELSE 0 END) / count(*) * sqrt(count(*)), 7) AS score FROM (SELECT src AS node, n_common, n_union FROM pr UNION ALL SELECT dst, n_common, n_union FROM pr) GROUP BY node",
-    e=CP40, sym=SYM, d=DEG, cm=COMMON, pr=PAIRS,
+    e=CP, sym=SYM, d=DEG, cm=COMMON, pr=PAIRS,
 ))
-def node_dissimilarity_score(spark: SparkSession, sf: str, least: float | None = 40) -> DataFrame:
-    return graph.dissimilarity_score(v.copurchase(spark, sf, least)).withColumn("score", F.round("score", 7))
+def node_dissimilarity_score(spark: SparkSession, sf: str) -> DataFrame:
+    return graph.dissimilarity_score(v.copurchase(spark, sf)).withColumn("score", F.round("score", 7))
 
 
-@query(with_views("SELECT round(corr(a.degree, b.degree), 8) AS assortativity FROM sym JOIN d a ON a.node = sym.node JOIN d b ON b.node = sym.other", e=CP40, sym=SYM, d=DEG))
-def assortativity(spark: SparkSession, sf: str, least: float | None = 40) -> DataFrame:
-    return graph.assortativity(v.copurchase(spark, sf, least)).select(F.round("assortativity", 8).alias("assortativity"))
+@query(with_views("SELECT round(corr(a.degree, b.degree), 8) AS assortativity FROM sym JOIN d a ON a.node = sym.node JOIN d b ON b.node = sym.other", e=CP, sym=SYM, d=DEG))
+def assortativity(spark: SparkSession, sf: str) -> DataFrame:
+    return graph.assortativity(v.copurchase(spark, sf)).select(F.round("assortativity", 8).alias("assortativity"))
 
 
 @query(with_views(
     "SELECT round(sum(inn) / (sum(dg) / 2.0::DOUBLE) - sum(dg * dg) / (sum(dg)::DOUBLE * sum(dg)::DOUBLE), 8) AS modularity FROM x",
-    e=CP40, l="SELECT p_partkey AS node, p_brand AS c FROM part", ed="SELECT a.c AS ca, b.c AS cb FROM e JOIN l a ON a.node = src JOIN l b ON b.node = dst",
+    e=CP, l="SELECT p_partkey AS node, p_brand AS c FROM part", ed="SELECT a.c AS ca, b.c AS cb FROM e JOIN l a ON a.node = src JOIN l b ON b.node = dst",
     x="SELECT c, sum(i)::DOUBLE AS inn, count(*)::DOUBLE AS dg FROM (SELECT ca AS c, (ca = cb)::INT AS i FROM ed UNION ALL SELECT cb, 0 FROM ed) GROUP BY c",
 ))
-def modularity(spark: SparkSession, sf: str, least: float | None = 40) -> DataFrame:
+def modularity(spark: SparkSession, sf: str) -> DataFrame:
     labels = v.table(spark, sf, "part").select(F.col("p_partkey").alias("node"), F.col("p_brand").alias("community"))
-    return graph.modularity(v.copurchase(spark, sf, least), labels).select(F.round("modularity", 8).alias("modularity"))
+    return graph.modularity(v.copurchase(spark, sf), labels).select(F.round("modularity", 8).alias("modularity"))
 
 
 # --- components ----------------------------------------------------------------------------------
 
 
-@query(with_views("SELECT node, component FROM c", True, e=CP45, sym=SYM, reach=REACH, c=COMP))
-def components(spark: SparkSession, sf: str, least: float | None = 45) -> DataFrame:
-    return graph.components(v.copurchase(spark, sf, least))
+@query(with_views("SELECT node, component FROM c", True, e=CP, sym=SYM, c=COMP))
+def components(spark: SparkSession, sf: str) -> DataFrame:
+    return graph.components(v.copurchase(spark, sf))
 
 
-@query(with_views("SELECT component, count(*) AS size FROM c GROUP BY component", True, e=CP45, sym=SYM, reach=REACH, c=COMP))
-def component_sizes(spark: SparkSession, sf: str, least: float | None = 45) -> DataFrame:
-    return graph.component_sizes(graph.components(v.copurchase(spark, sf, least)))
+@query(with_views("SELECT component, count(*) AS size FROM c GROUP BY component", True, e=CP, sym=SYM, c=COMP))
+def component_sizes(spark: SparkSession, sf: str) -> DataFrame:
+    return graph.component_sizes(graph.components(v.copurchase(spark, sf)))
 
 
-@query(with_views("SELECT node FROM c WHERE component = (SELECT component FROM c GROUP BY 1 ORDER BY count(*) DESC, component LIMIT 1)", True, e=CP45, sym=SYM, reach=REACH, c=COMP))
-def lcc_nodes(spark: SparkSession, sf: str, least: float | None = 45) -> DataFrame:
-    return graph.largest_component(v.copurchase(spark, sf, least))[0]
+@query(with_views("SELECT node FROM c WHERE component = (SELECT component FROM c GROUP BY 1 ORDER BY count(*) DESC, component LIMIT 1)", True, e=CP, sym=SYM, c=COMP))
+def lcc_nodes(spark: SparkSession, sf: str) -> DataFrame:
+    return graph.largest_component(v.copurchase(spark, sf))[0]
+
+
+ORDERED = "SELECT -o_custkey AS src, o_orderkey AS dst FROM orders"
+
+
+@query(with_views("SELECT component, count(*) AS size FROM c GROUP BY component", True, e=ORDERED, sym=SYM, c=COMP))
+def component_sizes_orders(spark: SparkSession, sf: str) -> DataFrame:
+    """Customers with their orders: many components."""
+    return graph.component_sizes(graph.components(v.table(spark, sf, "orders").select((-F.col("o_custkey")).alias("src"), F.col("o_orderkey").alias("dst"))))
 
 
 @query(with_views(
-    "SELECT s[1] AS s1, s[2] AS s2, round(s[1] / n, 8) AS s1_over_n, round(s[2] / n, 8) AS s2_over_n FROM (SELECT list(k ORDER BY k DESC) AS s, sum(k)::BIGINT AS n FROM z)",
-    True, e=CP45, sym=SYM, reach=REACH, c=COMP, z="SELECT count(*) AS k FROM c GROUP BY component",
+    "SELECT s[1] AS s1, coalesce(s[2], 0) AS s2, round(s[1] / n, 8) AS s1_over_n, round(coalesce(s[2], 0) / n, 8) AS s2_over_n FROM (SELECT list(k ORDER BY k DESC) AS s, sum(k)::BIGINT AS n FROM z)",
+    True, e=CP, sym=SYM, c=COMP, z="SELECT count(*) AS k FROM c GROUP BY component",
 ))
-def s1_s2(spark: SparkSession, sf: str, least: float | None = 45) -> DataFrame:
+def s1_s2(spark: SparkSession, sf: str) -> DataFrame:
     staged = Staged(spark)
-    sizes = staged.put(graph.component_sizes(graph.components(v.copurchase(spark, sf, least), staged=staged)), "sizes")
+    sizes = staged.put(graph.component_sizes(graph.components(v.copurchase(spark, sf), staged=staged)), "sizes")
     out = graph.top_two(sizes, sizes.agg(F.sum("size")).first()[0])
     return out.select("s1", "s2", F.round("s1_over_n", 8).alias("s1_over_n"), F.round("s2_over_n", 8).alias("s2_over_n"))
 
 
-@query(with_views("SELECT count(*) AS n_nodes, count(DISTINCT component) AS n_components, min(node) = 1 AND max(node) = count(*) AS contiguous FROM c", True, e=CP45, sym=SYM, reach=REACH, c=COMP))
-def round_trip(spark: SparkSession, sf: str, least: float | None = 45) -> DataFrame:
-    e = v.copurchase(spark, sf, least)
+@query(with_views("SELECT count(*) AS n_nodes, count(DISTINCT component) AS n_components, min(node) = 1 AND max(node) = count(*) AS contiguous FROM c", True, e=CP, sym=SYM, c=COMP))
+def round_trip(spark: SparkSession, sf: str) -> DataFrame:
+    e = v.copurchase(spark, sf)
     return graph.round_trip_check(graph.endpoints(e), e)
 
 
 @query(with_views(
     "SELECT count(*) AS n_nodes, (SELECT count(*) FROM e) AS n_edges, count(*) FILTER (component = top) AS lcc_nodes, (SELECT count(*) FROM e JOIN c x ON x.node = e.src, b WHERE x.component = b.top) AS lcc_edges, round(100.0::DOUBLE * count(*) FILTER (component <> top) / count(*), 6) AS pct_nodes_dropped, round(100.0::DOUBLE * (SELECT count(*) FROM e JOIN c x ON x.node = e.src, b WHERE x.component <> b.top) / (SELECT count(*) FROM e), 6) AS pct_edges_dropped FROM c, b",
-    True, e=CP45, sym=SYM, reach=REACH, c=COMP, b="SELECT component AS top FROM c GROUP BY 1 ORDER BY count(*) DESC, component LIMIT 1",
+    True, e=CP, sym=SYM, c=COMP, b="SELECT component AS top FROM c GROUP BY 1 ORDER BY count(*) DESC, component LIMIT 1",
 ))
-def lcc_share(spark: SparkSession, sf: str, least: float | None = 45) -> DataFrame:
-    return _rounded(workflows.lcc_share(v.copurchase(spark, sf, least)), 6)
+def lcc_share(spark: SparkSession, sf: str) -> DataFrame:
+    return _rounded(workflows.lcc_share(v.copurchase(spark, sf)), 6)
 
 
 LOCAL = "SELECT original_id, c_acctbal AS s FROM c WHERE regexp_extract(original_id, '^([^_.]*)', 1) = 'BUILDING'"
@@ -276,16 +286,16 @@ def local_vs_global(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(with_views(
     "SELECT k AS removed, coalesce(max(sz) FILTER (t = 1), CASE WHEN n > k THEN 1 ELSE 0 END)::BIGINT AS s1, coalesce(max(sz) FILTER (t = 2), CASE WHEN n - k > coalesce(max(sz) FILTER (t = 1), 1) THEN 1 ELSE 0 END)::BIGINT AS s2 FROM g LEFT JOIN top ON top.gk = g.k GROUP BY k, n",
-    True, e=CP45, sym=SYM, d=DEG, r="SELECT node, row_number() OVER (ORDER BY degree DESC, node) AS rank FROM d",
+    True, e=CP, sym=SYM, d=DEG, r="SELECT node, row_number() OVER (ORDER BY degree DESC, node) AS rank FROM d",
     g="SELECT floor((SELECT count(*) FROM r) * i / 20)::BIGINT AS k, (SELECT count(*) FROM r) AS n FROM range(21) q(i)",
     alive="SELECT k, ra.node AS a, rb.node AS b FROM g, sym JOIN r ra ON ra.node = sym.node JOIN r rb ON rb.node = sym.other WHERE least(ra.rank, rb.rank) > k",
-    reach="SELECT k, a AS node, a AS root FROM (SELECT DISTINCT k, a FROM alive) UNION SELECT reach.k, alive.b, reach.root FROM reach JOIN alive ON alive.k = reach.k AND alive.a = reach.node",
-    cc="SELECT k, node, min(root) AS c FROM reach GROUP BY k, node", sz="SELECT k AS gk, c, count(*) AS sz FROM cc GROUP BY 1, 2",
+    cc="SELECT DISTINCT k, a AS node, a AS component FROM alive UNION SELECT s.k, s.a, min(w.component) FROM cc w JOIN alive s ON s.k = w.k AND s.b = w.node JOIN recurring.cc r ON r.k = s.k AND r.node = s.a WHERE w.component < r.component GROUP BY s.k, s.a",
+    sz="SELECT k AS gk, component, count(*) AS sz FROM cc GROUP BY 1, 2",
     top="SELECT gk, sz, row_number() OVER (PARTITION BY gk ORDER BY sz DESC) AS t FROM sz",
 ))
-def curve_kgrid(spark: SparkSession, sf: str, least: float | None = 45) -> DataFrame:
+def curve_kgrid(spark: SparkSession, sf: str) -> DataFrame:
     staged = Staged(spark)
-    e = staged.put(v.copurchase(spark, sf, least), "edges")
+    e = staged.put(v.copurchase(spark, sf), "edges")
     ranks = staged.put(ranking.positions(graph.degree(e), [-F.col("degree"), F.col("node")], "rank", staged), "ranks")
     n = ranks.count()
     return curves.curve_on_grid(e, ranks.select("node", "rank"), n, [n * i // 20 for i in range(21)], staged).select("removed", "s1", "s2")
@@ -577,6 +587,16 @@ def total_variation(spark: SparkSession, sf: str) -> DataFrame:
     return _two_ranks(spark, sf).agg(F.round(statistics.total_variation("p", "q"), 7).alias("total_variation"), F.round(F.abs(F.sum("p") - 1), 7).alias("deviation"))
 
 
+@query(_materialised(
+    "SELECT x.node, round(r, 8) AS classical, round(avg(q), 8) AS quantum, round(var_pop(q), 8) AS quantum_var FROM (" + " UNION ALL ".join(f"SELECT k AS node, sum(a * a) AS q FROM st{t} GROUP BY k" for t in range(5)) + ") x JOIN p80 USING (node) GROUP BY x.node, r",
+    GOOGLE | _walk_ctes(4) | {k: q for k, q in _rank_ctes(EF, 0.85, 80).items() if k not in GOOGLE},
+))
+def quantum_pagerank_t5(spark: SparkSession, sf: str) -> DataFrame:
+    """The kernel's walk of five steps, and classical ranks."""
+    arcs = walks.arcs_of(v.event_flow(spark, sf)).withColumn("graph", F.lit("events"))
+    return _rounded(walks.walk_pagerank(arcs, [0.85], steps=5).select("node", "classical", "quantum", "quantum_var"), 8)
+
+
 @query()
 def quantum_pagerank(spark: SparkSession, sf: str) -> DataFrame:
     arcs = walks.arcs_of(v.event_flow(spark, sf)).withColumn("graph", F.lit("events"))
@@ -621,9 +641,9 @@ def resume_antijoin(spark: SparkSession, sf: str) -> DataFrame:
     return _plain_m(robustness.unfinished(work, work.where("stochastic_id <= 40 and (m is null or m <= 10)")))
 
 
-def _attack(spark: SparkSession, sf: str, protocols: list[str], m_values: list[int], n_attacks: int, **settings) -> DataFrame:
-    edges = Staged(spark).put(v.copurchase(spark, sf), "edges")
-    config = RunConfig(label="copurchase", protocols=tuple(protocols), n_attacks=n_attacks, **settings)
+def _attack(spark: SparkSession, sf: str, protocols: list[str], m_values: list[int], n_attacks: int, view=v.copurchase, **settings) -> DataFrame:
+    edges = Staged(spark).put(view(spark, sf), "edges")
+    config = RunConfig(label=view.__name__, protocols=tuple(protocols), n_attacks=n_attacks, **settings)
     done = robustness.simulate(edges, robustness.combos(spark, protocols, m_values, n_attacks), config)
     return curves.metrics_summary(curves.curve_metrics(robustness.curves_of(Staged(spark).put(done, "results"))))
 
@@ -635,18 +655,18 @@ def adaptive_degree(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def score_attack(spark: SparkSession, sf: str) -> DataFrame:
-    return _attack(spark, sf, ["local_sensing"], [1, 10], 4)
+    return _attack(spark, sf, ["local_sensing"], [1, 10], 4, v.customer_flow)
 
 
 @query()
 def adaptive_betweenness(spark: SparkSession, sf: str) -> DataFrame:
-    return _attack(spark, sf, ["betweenness", "adap_betweenness"], [], 2, btw_update=50)
+    return _attack(spark, sf, ["betweenness", "adap_betweenness"], [], 2, v.customer_flow, btw_update=50)
 
 
 @query()
 def adaptive_betweenness_sampled(spark: SparkSession, sf: str) -> DataFrame:
     """Dependencies of 64 sampled sources: an estimate."""
-    return _attack(spark, sf, ["betweenness", "adap_betweenness"], [], 2, btw_update=50, btw_k=64)
+    return _attack(spark, sf, ["betweenness", "adap_betweenness"], [], 2, v.customer_flow, btw_update=50, btw_k=64)
 
 
 @query()
@@ -654,9 +674,31 @@ def louvain(spark: SparkSession, sf: str) -> DataFrame:
     return robustness.louvain(v.copurchase(spark, sf))
 
 
-@query()
+# breadth-first levels with path counts from every node, then dependencies from the last level back
+PATHS = "SELECT node AS s, node, 0 AS d, 1.0::DOUBLE AS sigma FROM (SELECT DISTINCT node FROM sym) UNION SELECT w.s, x.other, min(w.d) + 1, sum(w.sigma) FROM bfs w JOIN sym x ON x.node = w.node ANTI JOIN recurring.bfs r ON r.s = w.s AND r.node = x.other GROUP BY w.s, x.other"
+BACK = """SELECT s, node, d, 0.0::DOUBLE AS delta FROM bfs WHERE d = (SELECT max(d) FROM bfs)
+  UNION ALL SELECT b.s, b.node, b.d, coalesce(b.sigma * h.share, 0.0) FROM bfs b
+  LEFT JOIN (SELECT w.s, x.other AS node, sum((1 + w.delta) / t.sigma) AS share FROM back w JOIN bfs t ON t.s = w.s AND t.node = w.node JOIN sym x ON x.node = w.node GROUP BY ALL) h ON h.s = b.s AND h.node = b.node
+  WHERE b.d = (SELECT max(d) FROM back) - 1"""
+BETWEENNESS = (
+    f"WITH RECURSIVE e AS MATERIALIZED ({CP}), sym AS MATERIALIZED ({SYM}), bfs(s, node, d, sigma) USING KEY (s, node) AS ({PATHS}), back(s, node, d, delta) AS ({BACK}) "
+    "SELECT node, round(sum(delta) FILTER (s <> node) / 2, 6) AS betweenness FROM back GROUP BY node"
+)
+
+
+FLOW_BETWEENNESS = BETWEENNESS.replace(CP, v.CUSTOMER_FLOW_SQL)
+
+
+@query(FLOW_BETWEENNESS.replace("betweenness FROM", "b FROM").replace("SELECT node, round", "SELECT node, row_number() OVER (ORDER BY b DESC, node) AS rank FROM (SELECT node, round") + ")")
+def order_betweenness_static(spark: SparkSession, sf: str) -> DataFrame:
+    """Nodes by static betweenness, the greatest first; ties by node."""
+    scores = robustness.betweenness(v.customer_flow(spark, sf)).withColumn("betweenness", F.round("betweenness", 6))
+    return ranking.positions(scores, [-F.col("betweenness"), F.col("node")]).select("node", "rank")
+
+
+@query(BETWEENNESS)
 def betweenness(spark: SparkSession, sf: str) -> DataFrame:
-    return robustness.betweenness(v.copurchase(spark, sf))
+    return robustness.betweenness(v.copurchase(spark, sf)).withColumn("betweenness", F.round("betweenness", 6))
 
 
 @query()
@@ -667,33 +709,32 @@ def betweenness_sampled(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def cascade(spark: SparkSession, sf: str) -> DataFrame:
-    edges = Staged(spark).put(v.copurchase(spark, sf), "edges")
-    top = ranking.positions(graph.degree(edges), [-F.col("degree"), F.col("node")]).where("rank <= 5")
-    return robustness.cascades(edges, top.select(F.col("node").alias("trigger_node"), F.lit("degree").alias("trigger_type")))
-
-
-def flagship(spark: SparkSession, sf: str) -> DataFrame:
-    """How much of the network survives a degree attack: order, curve and metrics of the co-purchase graph."""
-    return _attack(spark, sf, ["degree"], [], 1)
-
-
-# --- the whole co-purchase graph -----------------------------------------------------------------
+    """Cascades from the nodes that local sensing removes first and from those of the greatest betweenness."""
+    staged = Staged(spark)
+    edges = staged.put(v.customer_flow(spark, sf), "edges")
+    config = RunConfig(label="customer_flow", protocols=("local_sensing",), n_attacks=2)
+    orders = robustness.orders_of(robustness.simulate(edges, robustness.combos(spark, ["local_sensing"], [1], 2), config))
+    scores = curves.node_scores(orders, F.lit(1)).select("node", F.col("mean_removal_rank").alias("score"))
+    triggers = staged.put(robustness.cascade_triggers(scores, robustness.betweenness(edges)), "triggers")
+    return robustness.cascades(edges, triggers)
 
-#: Queries above whose SQL reads lines of a quantity of 40 or 45 at least; each has a twin named `_all` over every line.
-CUT = """edge_count induced_subgraph remove_nodes neighbour_expand degree_with_isolates order_degree_static order_random_hash relabel_numeric
-edge_jaccard node_dissimilarity_score assortativity modularity components component_sizes lcc_nodes s1_s2 round_trip lcc_share curve_kgrid""".split()
-#: Recursive SQL makes a row for each pair of connected nodes: on the whole graph of sf0.01 it was stopped after 6 s, so these twins have none.
-RECURSIVE = {"components", "component_sizes", "lcc_nodes", "s1_s2", "round_trip", "lcc_share", "curve_kgrid"}
 
+@query(with_views("SELECT trigger_type, round(avg(x), 8) AS mean_fraction FROM t GROUP BY trigger_type", t="SELECT c_mktsegment AS trigger_type, c_custkey % 97 / 97.0::DOUBLE AS x FROM customer"))
+def cascade_means(spark: SparkSession, sf: str) -> DataFrame:
+    c = v.table(spark, sf, "customer").select(F.col("c_mktsegment").alias("trigger_type"), (F.col("c_custkey") % 97 / 97.0).alias("cascade_fraction"))
+    return _rounded(workflows.cascade_means(c), 8)
 
-def _whole(name: str) -> None:
-    def run(spark: SparkSession, sf: str, f: Query = QUERIES[name]) -> DataFrame:
-        return f(spark, sf, least=None)
 
-    QUERIES[f"{name}_all"] = run
-    if name not in RECURSIVE:
-        SQL[f"{name}_all"] = SQL[name].replace(CP40, v.COPURCHASE_ALL_SQL).replace(CP45, v.COPURCHASE_ALL_SQL)
+@query(with_views(
+    "SELECT label, protocol, round(avg(a), 6) AS mean_auc_s1, round(avg(b), 6) AS mean_p_lcc_0_5, CASE label WHEN '1' THEN 'power' WHEN '2' THEN 'rail' ELSE 'other' END AS category FROM ms GROUP BY label, protocol",
+    c=v.CURVES_SQL, lg=LAGGED, mt=METRICS, ms="SELECT label, protocol, m, avg(auc_s1) AS a, avg(p_lcc_0_5) AS b FROM mt GROUP BY ALL",
+))
+def category_summary(spark: SparkSession, sf: str) -> DataFrame:
+    summary = curves.metrics_summary(_metrics(spark, sf))
+    out = workflows.category_summary(summary, ["random", "local_sensing"], {"1": "power", "2": "rail"})
+    return _rounded(out.select("label", "protocol", "mean_auc_s1", "mean_p_lcc_0_5", "category"), 6)
 
 
-for _name in CUT:
-    _whole(_name)
+def flagship(spark: SparkSession, sf: str) -> DataFrame:
+    """How much of the network survives a degree attack: order, curve and metrics of the co-purchase graph."""
+    return _attack(spark, sf, ["degree"], [], 1)

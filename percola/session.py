@@ -97,6 +97,14 @@ class Staged:
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file, written by the driver through Spark's file systems."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = at.getFileSystem(spark._jsc.hadoopConfiguration()).create(at, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+
+
 def ship(spark: SparkSession) -> None:
     """Give executors this package where they don't have it: once per application, through Spark's own file server."""
     sc = spark.sparkContext

@@ -97,17 +97,55 @@ def read_table(spark: SparkSession, path: str, schema: str | None = None) -> Dat
     return (reader.schema(schema) if schema is not None else reader.option("inferSchema", True)).csv(path)
 
 
+def write_table(df: DataFrame, path: str, decimals: dict[str, int] | None = None, order_by: list | None = None) -> None:
+    """One CSV file with a header, for results that a person reads: numbers with fixed decimals where asked, nulls empty, in order."""
+    if order_by:
+        df = df.orderBy(*order_by).coalesce(1)
+    fixed = [F.format_string(f"%.{decimals[c]}f", F.col(c)).alias(c) if decimals and c in decimals else F.col(c) for c in df.columns]
+    nulls = [F.when(F.col(o).isNotNull(), c).alias(o) for c, o in zip(fixed, df.columns, strict=True)]
+    df.select(*nulls).coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+
+
+#: Decimals of the tables of PageRank sweeps: probabilities and distances, and the damping.
+RANK_DECIMALS = {"classical": 10, "quantum": 10, "fidelity_quantum": 10, "fidelity_classical": 10, "diff_quantum": 10, "diff_classical": 10, "alpha": 6}
+
+
+def write_ranks(ranks: DataFrame, path: str, key: str | None = None) -> None:
+    """walk_pagerank's result as CSV: node, classical and quantum, after the graph's key if one is named."""
+    keys = [key] if key else []
+    write_table(ranks.select(*keys, "node", "classical", "quantum"), path, {c: RANK_DECIMALS[c] for c in ("classical", "quantum")}, [*keys, "node"])
+
+
+def write_sweep(sweep: DataFrame, path: str) -> None:
+    """damping_sweep's result as CSV, by alpha."""
+    columns = ["alpha", "fidelity_quantum", "fidelity_classical", "diff_quantum", "diff_classical"]
+    write_table(sweep.select(*columns), path, {c: RANK_DECIMALS[c] for c in columns}, ["alpha"])
+
+
+def key_faults(edges: DataFrame, keys: DataFrame, key: str = "key") -> DataFrame:
+    """(n_repeated_keys, n_orphans): rows of keys beyond the first of a key, and distinct ends of edges without a key."""
+    repeated = keys.agg((F.count(key) - F.count_distinct(key)).alias("n_repeated_keys"))
+    ends = endpoints(edges).join(keys.select(F.col(key).alias("node")).distinct(), "node", "left_anti")
+    return repeated.crossJoin(F.broadcast(ends.agg(F.count("node").alias("n_orphans"))))
+
+
 def load_config(path: str, known: set[str]) -> dict:
-    """A JSON object of defaults and `networks`; unknown keys and networks without a label are errors."""
+    """A JSON object of defaults and `networks`; unknown keys, no networks, and networks without a label are errors."""
     with open(path, encoding="utf-8") as f:
         config = json.load(f)
-    for name, net in config.get("networks", {}).items():
-        if unknown := set(net) - known - {"label", "edge_file", "outdir"}:
+    return checked_config(config, known)
+
+
+def checked_config(config: dict, known: set[str]) -> dict:
+    if not isinstance(config.get("networks"), dict) or not config["networks"]:
+        raise ValueError("networks must be a non-empty object")
+    if unknown := set(config) - known - {"networks", "order", "run_order", "python"}:
+        raise ValueError(f"unknown keys {sorted(unknown)}")
+    for name, net in config["networks"].items():
+        if not isinstance(net, dict):
+            raise ValueError(f"{name}: an object is required")
+        if unknown := set(net) - known - {"label", "enabled", "edge_file", "outdir"}:
             raise ValueError(f"{name}: unknown keys {sorted(unknown)}")
-        if not net.get("label"):
+        if not str(net.get("label") or "").strip():
             raise ValueError(f"{name}: a label is required")
-    if unknown := set(config) - known - {"networks", "order"}:
-        raise ValueError(f"unknown keys {sorted(unknown)}")
     return config
-
-

@@ -57,7 +57,10 @@ def hierarchical(spark: SparkSession, level: int) -> DataFrame:
 
 
 def small_graphs() -> dict[str, tuple[int, list[tuple[int, int]]]]:
-    """(N, edges) of fixed graphs for checks: path, cycle, triangles with isolates, barbell, star, complete."""
+    """(N, edges) of graphs for checks: path, cycle, triangles with isolates, barbell, star, complete, and four random ones."""
+    rng = np.random.default_rng(7)
+    # pairs in ascending order draw one number each, so that the graphs are always the same
+    random = {f"random_{n}": (n, [(u, w) for u in range(1, n + 1) for w in range(u + 1, n + 1) if rng.random() < p]) for n, p in ((20, 0.1), (30, 0.15), (40, 0.08), (25, 0.3))}
     clique = lambda at, k: [(at + i, at + j) for i in range(k) for j in range(i + 1, k)]
     return {
         "path": (10, [(i, i + 1) for i in range(1, 10)]),
@@ -66,4 +69,5 @@ def small_graphs() -> dict[str, tuple[int, list[tuple[int, int]]]]:
         "barbell": (10, clique(1, 5) + clique(6, 5) + [(5, 6)]),
         "star": (12, [(1, i) for i in range(2, 13)]),
         "complete": (8, clique(1, 8)),
+        **random,
     }

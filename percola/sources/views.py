@@ -10,18 +10,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def copurchase(spark: SparkSession, sf_dir: str, least: float | None = None) -> DataFrame:
-    """Parts bought together in one order: (src, dst), src < dst. With `least`, only lines of that quantity or more count. An order has few lines, so pairs stay few."""
-    lines = table(spark, sf_dir, "lineitem")
-    lines = (lines if least is None else lines.where(F.col("l_quantity") >= least)).select("l_orderkey", "l_partkey").distinct()
+def copurchase(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts bought together in one order: (src, dst), src < dst. An order has few lines, so pairs stay few."""
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey").distinct()
     a, b = lines.select("l_orderkey", F.col("l_partkey").alias("src")), lines.select("l_orderkey", F.col("l_partkey").alias("dst"))
     return a.join(b, "l_orderkey").where("src < dst").select("src", "dst").distinct()
 
 
 COPURCHASE_SQL = """SELECT DISTINCT a.l_partkey AS src, b.l_partkey AS dst FROM lineitem a JOIN lineitem b
-  ON a.l_orderkey = b.l_orderkey AND a.l_partkey < b.l_partkey WHERE a.l_quantity >= {0} AND b.l_quantity >= {0}"""
-
-COPURCHASE_ALL_SQL = """SELECT DISTINCT a.l_partkey AS src, b.l_partkey AS dst FROM lineitem a JOIN lineitem b
   ON a.l_orderkey = b.l_orderkey AND a.l_partkey < b.l_partkey"""
 
 
@@ -58,6 +54,17 @@ USER_FLOW_SQL = """SELECT src, dst FROM (SELECT user_id AS src,
   lead(user_id) OVER (PARTITION BY event_type, date_trunc('hour', ts) ORDER BY ts, event_id) AS dst FROM events) WHERE dst IS NOT NULL"""
 
 
+def customer_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(src, dst), src < dst: customers whose orders follow one another on a day. Some 17 links a customer, so that kernels get a sparse graph."""
+    w = Window.partitionBy("o_orderdate").orderBy("o_orderkey")
+    pairs = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("a"), F.lead("o_custkey").over(w).alias("b")).where("a <> b")
+    return pairs.select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).distinct()
+
+
+CUSTOMER_FLOW_SQL = """SELECT DISTINCT least(a, b) AS src, greatest(a, b) AS dst FROM (
+  SELECT o_custkey AS a, lead(o_custkey) OVER (PARTITION BY o_orderdate ORDER BY o_orderkey) AS b FROM orders) WHERE a <> b"""
+
+
 def places(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers with an id, an area code and coordinates made from their keys."""
     c = table(spark, sf_dir, "customer")

@@ -1,11 +1,14 @@
 """Curves, statistics, walks, readers, runs, the launcher and the registered queries."""
 
+import json
 import os
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from percola import session
+from percola.functions import scalar
 from percola.operators import curves, kernels, ranking, robustness, statistics, walks
 from percola.operators.robustness import RunConfig
 from percola.plans import launcher
@@ -135,12 +138,96 @@ def test_costs(spark):
     assert shares["random"][1] == pytest.approx(10 * cost["random", None] / total)
 
 
+#: All settings that a launched run needs.
+DEFAULTS = {"protocols": ["random", "degree"], "m_min": 1, "m_max": 2, "m_step": 1, "n_attacks": 3, "seed": 1, "p_step_nodes": 1, "btw_update": 10, "btw_k": None}
+
+
+def test_plans_are_checked(spark, tmp_path):
+    two = {"a": {"label": "A"}, "b": {"label": "B", "enabled": False}}
+    assert [p.name for p in launcher.plan(DEFAULTS | {"networks": two})] == ["a"]
+    assert [p.name for p in launcher.plan(DEFAULTS | {"networks": two, "run_order": ["b"]}, only=["a", "b"])] == ["b", "a"]
+    bad = [{"m_min": None}, {"m_min": "1"}, {"btw_k": 1.5}, {"protocols": "random"}, {"protocols": ["x"]}, {"seed": True}, {"force": 1}, {"engine": "other"}, {"n_workers": -1}, {"typo": 1}, {"networks": {}}, {"networks": {"a": {"label": " "}}}, {"run_order": ["c"]}, {"networks": {"a": {"label": "A", "enabled": False}}}]
+    for change in bad:
+        with pytest.raises(launcher.ConfigError):
+            launcher.plan(DEFAULTS | {"networks": two} | change)
+    for absent in DEFAULTS:
+        with pytest.raises(launcher.ConfigError, match="absent"):
+            launcher.plan({k: x for k, x in DEFAULTS.items() if k != absent} | {"networks": two})
+    with pytest.warns(UserWarning, match="btw_update"):
+        launcher.plan(DEFAULTS | {"networks": two, "btw_update": 1, "protocols": ["adap_betweenness"]})
+    sources.write_edge_list(spark.createDataFrame([(1, 2), (2, 3)], "src long, dst long"), f"{tmp_path}/a/a_edgelist.txt", "A", 3)
+    (tmp_path / "b").mkdir()
+    (tmp_path / "b" / "b_edgelist.txt").write_text("1 2\n")
+    rows = launcher.plan_table(spark, launcher.plan(DEFAULTS | {"networks": two}, only=["a", "b"], force=True), str(tmp_path)).orderBy("turn").collect()
+    assert [(r.name, r.n_nodes, r.n_edges, r.outdir, r.m_values, r.force) for r in rows] == [("a", 3, 2, "output/a", [1, 2], True), ("b", None, None, "output/b", [1, 2], True)]
+
+
+def test_config_files(tmp_path):
+    (tmp_path / "c.json").write_text('{"seed": 1, "networks": {"a": {"label": "A", "seed": 2}}}')
+    assert sources.load_config(str(tmp_path / "c.json"), {"seed"})["networks"]["a"]["seed"] == 2
+    for text in ('{"seed": 1, "networks": {}}', '{"sed": 1, "networks": {"a": {"label": "A"}}}', '{"networks": {"a": {"label": "A", "x": 1}}}', '{"networks": {"a": {}}}'):
+        (tmp_path / "c.json").write_text(text)
+        with pytest.raises(ValueError):
+            sources.load_config(str(tmp_path / "c.json"), {"seed"})
+
+
+def test_artefacts_of_a_run(spark, tmp_path):
+    net = spark.createDataFrame([(i, i + 1) for i in range(1, 8)], "src long, dst long")
+    config = RunConfig(label="path", protocols=("random", "degree"), n_attacks=2)
+    robustness.run(net, config, str(tmp_path))
+    said = json.loads((tmp_path / "config.json").read_text())
+    assert said["label"] == "path" and said["n_nodes"] == 8 and said["protocols"] == ["random", "degree"]
+    log = "".join(p.read_text() for p in (tmp_path / "logs").glob("run-*.log"))
+    assert [f"{k} took" in log for k in ("degree__mNA__rep0001", "random__mNA__rep0001", "random__mNA__rep0002", "random__mNA__rep0003")] == [True, True, True, False]
+    assert "Robustness of path" in (tmp_path / "README.md").read_text()
+    old = {r.stochastic_id: r.seconds for r in spark.read.parquet(f"{tmp_path}/partial-*").where("protocol = 'random'").collect()}
+    again = robustness.run(net, config, str(tmp_path), force=True)
+    assert again["metrics"].count() == 3 and {r.stochastic_id for r in spark.read.parquet(f"{tmp_path}/partial-*").where("protocol = 'random'").collect()} == set(old)
+
+
+def test_tables_for_people(spark, tmp_path):
+    ranks = spark.createDataFrame([("g", 0.85, 2, 0.25, 0.125, None), ("g", 0.85, 1, 0.75, 1 / 3, 0.0)], "graph string, alpha double, node long, classical double, quantum double, quantum_var double")
+    text = lambda at: "".join(p.read_text() for p in (tmp_path / at).glob("part-*.csv")).split()
+    sources.write_ranks(ranks, f"{tmp_path}/r", "graph")
+    assert text("r") == ["graph,node,classical,quantum", "g,1,0.7500000000,0.3333333333", "g,2,0.2500000000,0.1250000000"]
+    sources.write_sweep(spark.createDataFrame([(0.5, 1.0, 0.5, None, 0.25)], "alpha double, fidelity_quantum double, fidelity_classical double, diff_quantum double, diff_classical double"), f"{tmp_path}/s")
+    assert text("s")[1] == "0.500000,1.0000000000,0.5000000000,,0.2500000000"
+    back = sources.read_table(spark, f"{tmp_path}/s", "alpha double, fidelity_quantum double, fidelity_classical double, diff_quantum double, diff_classical double").first()
+    assert back.diff_quantum is None and back.alpha == 0.5
+    keys = spark.createDataFrame([(0, "x"), (1, "y"), (2, "x"), (3, "x")], "row long, key string")
+    faults = sources.key_faults(spark.createDataFrame([("x", "y"), ("z", "x"), ("z", "w")], "src string, dst string"), keys).first()
+    assert (faults.n_repeated_keys, faults.n_orphans) == (2, 2)
+    sources.write_node_mapping(spark.createDataFrame([(1, "A.1", 0.5, None)], "new_id long, original_id string, lat double, lon double").coalesce(1), f"{tmp_path}/m")
+    assert text("m") == ["new_id,original_id,lat,lon", "1,A.1,0.5,"]
+
+
+def test_small_things(spark):
+    assert [scalar.format_duration(s) for s in (0, 59.4, 59.6, 245, 3723)] == ["0s", "59s", "1m00s", "4m05s", "1h02m03s"]
+    df = spark.createDataFrame([([1, 2, 3], [2, 3, 4]), ([], [])], "a array<int>, b array<int>")
+    assert [r[0] for r in df.select(scalar.jaccard(F.col("a"), F.col("b"))).collect()] == [0.5, None]
+    rows = spark.createDataFrame([("n", "p", 2, 1), ("n", "p", None, 1), ("n", "o", 1, 1)], "label string, protocol string, m int, stochastic_id int")
+    assert [(r.protocol, r.m) for r in curves.in_order(rows).collect()] == [("o", 1), ("p", None), ("p", 2)]
+    values = spark.createDataFrame([(2, 0.5), (1, 0.5), (3, 0.9)], "node long, x double")
+    assert [r.node for r in curves.series(values, "x").collect()] == [3, 1, 2]
+    from percola.sources.generators import small_graphs
+
+    assert len(small_graphs()) == 10 and small_graphs() == small_graphs() and all(a < b <= n for k, (n, e) in small_graphs().items() if k.startswith("random") for a, b in e)
+
+
+def test_shared_folder_is_needed_on_a_cluster():
+    class Session:
+        conf = {"spark.master": "spark://host:7077"}
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        session.shared_dir(Session)
+
+
 def test_configurations():
     with pytest.raises(ValueError):
         RunConfig(protocols=("nothing",))
     with pytest.raises(ValueError):
         RunConfig(m_min=3, m_max=2)
-    config = {"seed": 5, "btw_k": 7, "networks": {"b": {"label": "B", "btw_k": None}, "a": {"label": "A", "n_attacks": 2}}, "order": ["a"]}
+    config = DEFAULTS | {"seed": 5, "btw_k": 7, "networks": {"b": {"label": "B", "btw_k": None}, "a": {"label": "A", "n_attacks": 2}}, "order": ["a"]}
     plan = launcher.planned(config)
     assert [p[0] for p in plan] == ["a", "b"] and plan[0][1].btw_k == 7 and plan[1][1].btw_k is None
     ran = []
@@ -197,10 +284,14 @@ def test_queries_have_matching_columns(spark):
     queries, sql = entry.queries(), entry.oracle_sql()
     assert set(sql) <= set(queries)
     for name in ("degree", "edge_jaccard", "metrics", "node_scores_wide", "quantile_hidden", "ols_r2", "google_matrix", "combos"):
-        got = [tuple(r) for r in queries[name](spark, sf).select(*sorted(c for c in queries[name](spark, sf).columns)).collect()]
-        want = con.execute(sql[name]).df()
-        want = [tuple(r) for r in want[sorted(want.columns)].itertuples(index=False, name=None)]
-        assert len(got) == len(want), name
+        got = queries[name](spark, sf)
+        got = [tuple(r) for r in got.select(*sorted(got.columns)).collect()]
+        want = con.execute(sql[name])
+        place = sorted(range(len(want.description)), key=lambda i: want.description[i][0])
+        assert [want.description[i][0] for i in place] == sorted(queries[name](spark, sf).columns)
+        want = [tuple(r[i] for i in place) for r in want.fetchall()]
+        plain = lambda rows: sorted(tuple("-" if x is None else f"{float(x):.6g}" if isinstance(x, (int, float)) else str(x) for x in r) for r in rows)
+        assert plain(got) == plain(want), name
     assert entry.entry(spark).count() > 0
 
 
