@@ -126,6 +126,85 @@ WITH sized AS (
 SELECT doc_id, size, source_size, target, copies * size AS taken, source, copies FROM counted
 """
 
+# lines with a word; each with its templates: without one run of a fifth of its words below the first three, or whole
+OP1_SQL = r"""
+WITH docs AS (
+  SELECT doc_id, text, row_number() OVER () AS row FROM documents
+), lines AS (
+  SELECT row, doc_id, text, line, pos, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS w
+  FROM (SELECT row, doc_id, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM docs WHERE text IS NOT NULL)
+), worded AS (
+  SELECT row, doc_id, text, pos, len(w) AS n, len(w) // 5 AS size,
+    CASE WHEN len(list_filter(w, lambda x: NOT regexp_matches(x, '[0-9]'))) = 0 THEN w ELSE list_transform(w, lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN ' ' ELSE x END) END AS w
+  FROM lines WHERE len(w) > 0
+), runs AS (
+  SELECT row, doc_id, text, pos, n, w, unnest(CASE WHEN size > 0 THEN range(0, n - 3, size) ELSE []::BIGINT[] END) AS skipped, size FROM worded
+), templates AS (
+  SELECT row, doc_id, text, pos, n, -1 AS skipped, w FROM worded
+  UNION ALL SELECT row, doc_id, text, pos, n, skipped, list_concat(list_concat(w[:3 + skipped], ['  ']), w[4 + skipped + size:]) FROM runs
+), ranked AS (
+  SELECT row, pos, rank() OVER (PARTITION BY n, skipped, w ORDER BY doc_id NULLS LAST, text, pos) AS place FROM templates
+), gone AS (
+  SELECT DISTINCT row, pos FROM ranked WHERE place > 1
+), kept AS (
+  SELECT l.row, string_agg(l.line, chr(10) ORDER BY l.pos) AS text, count(*) AS n FROM lines l ANTI JOIN gone g ON g.row = l.row AND g.pos = l.pos GROUP BY l.row
+)
+SELECT doc_id, coalesce(len(string_split(docs.text, chr(10))), 0)::BIGINT AS n_lines, coalesce(len(string_split(docs.text, chr(10))) - coalesce(kept.n, 0), 0)::BIGINT AS n_dropped,
+  CASE WHEN docs.text IS NOT NULL THEN coalesce(kept.text, '') END AS text
+FROM docs LEFT JOIN kept USING (row)
+"""
+
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+# windows of documents that are windows of items, by length; each covers its words
+OP5_SQL = rf"""
+WITH docs AS (
+  SELECT row_number() OVER () AS row, doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), items AS (
+  SELECT DISTINCT item_id::VARCHAR AS item, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark WHERE item_id IS NOT NULL
+), item_windows AS (
+  SELECT DISTINCT item, array_to_string(list_slice(w, i, i + least(len(w), 13) - 1), ' ') AS x, least(len(w), 13) AS size
+  FROM (SELECT item, w, unnest(range(1, len(w) - least(len(w), 13) + 2)) AS i FROM items WHERE len(w) > 0)
+), sizes AS (
+  SELECT DISTINCT size FROM item_windows
+), doc_windows AS (
+  SELECT row, i, size, array_to_string(list_slice(w, i, i + size - 1), ' ') AS x FROM (SELECT row, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM docs, sizes WHERE len(w) >= size)
+), hits AS MATERIALIZED (
+  SELECT row, i, d.size, item FROM doc_windows d JOIN item_windows b ON d.x = b.x AND d.size = b.size
+), covered AS (
+  SELECT row, count(DISTINCT j) AS n_hit FROM (SELECT row, unnest(range(i, i + size)) AS j FROM (SELECT DISTINCT row, i, size FROM hits)) GROUP BY row
+), named AS (
+  SELECT row, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names FROM (SELECT DISTINCT row, item FROM hits) GROUP BY row
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(names, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM docs LEFT JOIN covered USING (row) LEFT JOIN named USING (row)
+"""
+
+# sets of five-word shingles; pairs of distinct sets that share one are counted, and least labels go along the links
+OP10_SQL = rf"""
+WITH RECURSIVE docs AS MATERIALIZED (
+  SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') AS w FROM documents
+), sets AS MATERIALIZED (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN []::VARCHAR[] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_sort(list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(list_slice(w, i, i + 4), ' ')))) END AS s FROM docs
+), classes AS MATERIALIZED (
+  SELECT s, min(doc_id) AS rep, len(s) AS n FROM sets WHERE len(s) > 0 GROUP BY s
+), shingles AS MATERIALIZED (
+  SELECT rep, n, unnest(s) AS x FROM classes
+), links AS MATERIALIZED (
+  SELECT a.rep AS a, b.rep AS b FROM shingles a JOIN shingles b ON a.x = b.x AND a.rep < b.rep AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n)
+  GROUP BY a.rep, b.rep, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))
+), arcs AS MATERIALIZED (
+  SELECT a AS node, b AS other FROM links UNION ALL SELECT b, a FROM links
+), c(node, component) USING KEY (node) AS (
+  SELECT rep, rep FROM classes UNION
+  SELECT s.node, min(p.component) FROM c p JOIN arcs s ON s.other = p.node JOIN recurring.c r ON r.node = s.node WHERE p.component < r.component GROUP BY s.node
+)
+SELECT doc_id, len(sets.s)::BIGINT AS n_shingles, coalesce(component, doc_id) AS component_id, coalesce(component, doc_id) = doc_id AS kept
+FROM sets LEFT JOIN classes ON len(sets.s) > 0 AND classes.s = sets.s LEFT JOIN c ON c.node = classes.rep
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_mixing": op2_mixing,
@@ -138,7 +217,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality_rules": op9_quality_rules,
     "op10_near_dedup": op10_near_dedup,
 }
-SQL: dict[str, str] = {"op2_mixing": OP2_SQL}
+SQL: dict[str, str] = {"op1_line_dedup": OP1_SQL, "op2_mixing": OP2_SQL, "op5_decontamination": OP5_SQL, "op10_near_dedup": OP10_SQL}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
