@@ -16,12 +16,12 @@ from tokenizers import Tokenizer
 
 from percola.llm.decontamination import contamination
 from percola.llm.language import Model, identify, training_texts
-from percola.llm.line_labels import Field, fit_field, quality_rules
+from percola.llm.line_labels import FEATURES, Field, fit_field, quality_rules
 from percola.llm.mixing import mix, mix_plan
 from percola.llm.near_dedup import drop_near_duplicates, near_duplicates, shingle_sets
 from percola.llm.pretokens import Memo
-from percola.llm.quality import pool_adjacent, quality_scores
-from percola.llm.sharding import shard
+from percola.llm.quality import RANDOM, STATISTICS, document_statistics, fit, pool_adjacent, quality_scores
+from percola.llm.sharding import shard, splitters
 from percola.llm.statistics import statistics
 from percola.llm.token_counts import Merges, count_texts, token_counts
 from percola.llm.token_store import _combine, _shift_tables, read_digests, read_ids, verify, write_store
@@ -134,6 +134,24 @@ def test_shard(docs, rows, none, spark):
     assert shard(none).count() == 0
 
 
+@pytest.mark.parametrize("tolerance", [0.0, 0.02])
+def test_splitters(spark, tolerance):
+    """Each splitter against the sorted table: as near to its aim as the tolerance asks, or as one key allows."""
+    rng = random.Random(6)
+    keys = [rng.randrange(1 << 63) for _ in range(300)] + [5 << 40] * 150 + [(5 << 40) + i for i in range(80)] + [0, 0, (1 << 63) - 1]
+    rows = [(k, rng.choice([16, 40, 900])) for k in keys]
+    for n in (1, 2, 9, 40):
+        got = splitters(spark.createDataFrame(rows, "key long, size long"), n, tolerance)
+        total = sum(s for _, s in rows)
+        assert len(got) == n - 1 and got == sorted(got)
+        for j, key in enumerate(got, 1):
+            aim = total * j / n
+            off = lambda x: abs(sum(s for k, s in rows if k < x) - aim)
+            best = min(off(x) for x in {*keys, 1 << 63})
+            assert off(key) <= max(best, tolerance * total / n) + 1e-6
+    assert splitters(spark.createDataFrame([], "key long, size long"), 4, 0.0) == [(1 << 63) - 1] * 3
+
+
 def brute_near(rows, percent):
     sets = collections.defaultdict(list)
     for r in rows:
@@ -457,6 +475,80 @@ def test_quality_scores(spark, docs, rows, none):
     assert quality_scores(none, labels).count() == 0
 
 
+def test_quality_fit_equals_dense_ridge(spark):
+    """The partition-summed fit against the dense one: standardised features, ridge weights, and isotonic means of bins."""
+    made = [junk(i) for i in range(300)]
+    stats = document_statistics(pa.array([t for _, t in made])).astype(np.float32)
+    label = np.array([float((i * 7 + i // 5) % 3 > 0) for i in range(300)])
+    cal = np.arange(300) % 5 == 0
+    rows = [(bytearray(x.tobytes()), float(y), bool(c)) for x, y, c in zip(stats, label, cal, strict=True)]
+    model = fit(spark.createDataFrame(rows, "stats binary, label double, calibrate boolean").repartition(7))
+    x = stats[~cal].astype(float)
+    assert np.allclose(model.mean, x.mean(0)) and np.allclose(model.scale, np.sqrt(np.maximum(x.var(0), 1e-8)) + 1e-3, rtol=1e-4)
+    f = model.features(x)
+    z = np.clip((x - model.mean) / model.scale, -4, 4)
+    assert np.allclose(f[:, :-1], np.cos(z @ model.frequencies + model.phases) * np.sqrt(2 / RANDOM)) and (f[:, -1] == 1).all()
+    penalty = np.diag([*[1e-2 * len(x) / RANDOM] * RANDOM, 0]) + 1e-9 * np.eye(RANDOM + 1)
+    assert np.allclose(f @ model.weights, f @ np.linalg.solve(f.T @ f + penalty, f.T @ label[~cal]), atol=1e-6)
+    # calibration: the best monotone means of the bins, each pool with one case of the prior
+    raw, y = model.raw(stats[cal].astype(float)), label[cal]
+    at = np.minimum(((np.clip(raw, -0.5, 1.5) + 0.5) * 200).astype(int), 399)
+    bins = np.unique(at)
+    count, total = np.array([(at == b).sum() for b in bins]), np.array([y[at == b].sum() for b in bins])
+    plain = pool_adjacent(count, total)
+    for k in range(len(bins)):  # the min-max formula of isotonic regression
+        means = [min(total[a : b + 1].sum() / count[a : b + 1].sum() for b in range(k, len(bins))) for a in range(k + 1)]
+        assert plain[k] == pytest.approx(max(means))
+    assert np.allclose(model.knots, [raw[at == b].mean() for b in bins]) and (np.diff(model.levels) > 0).all()
+    # the kernel that the features' products approximate
+    k = f[:40, :-1] @ f[:40, :-1].T
+    exact = np.exp(-((z[:40, None] - z[None, :40]) ** 2).sum(2) / (2 * STATISTICS))
+    assert np.abs(k - exact).mean() < 0.08
+
+
+def test_null_and_empty_texts_have_one_score(spark):
+    made = spark.createDataFrame([*[junk(i) for i in range(200)], (901, ""), (902, None), (903, " \n"), (None, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, quality int")
+    score = {r.doc_id: r.score for r in quality_scores(made, labels).collect()}
+    assert [score[i] for i in (902, 903, None)] == pytest.approx([score[901]] * 3)
+
+
+def test_field_maximises_its_likelihood():
+    """fit() ends where the penalised likelihood, by enumeration of all labellings, has next to no slope."""
+    rng = np.random.default_rng(3)
+    sequences = [(rng.integers(0, 2, (n, FEATURES)).astype(np.float32), rng.integers(0, 2, n)) for n in (1, 2, 3, 4, 4)]
+    field = Field.fit(sequences, rounds=3000, rate=0.02)
+    start = np.concatenate([field.emit.ravel(), field.step.ravel(), field.start])
+
+    def value(theta):
+        emit, step, begin = theta[:-6].reshape(-1, 2), theta[-6:-2].reshape(2, 2), theta[-2:]
+        out = -0.5 * (theta**2).sum()
+        for x, y in sequences:
+            score = lambda z: begin[z[0]] + (x @ emit)[np.arange(len(z)), z].sum() + sum(step[a, b] for a, b in zip(z, z[1:], strict=False))  # noqa: B023, E731
+            every = [score([int(c) for c in f"{k:0{len(y)}b}"]) for k in range(2 ** len(y))]
+            out += score(y.tolist()) - np.logaddexp.reduce(every)
+        return out
+
+    for i in range(0, len(start), 3):
+        step = np.zeros_like(start)
+        step[i] = 1e-4
+        assert abs(value(start + step) - value(start - step)) / 2e-4 < 0.05
+    assert value(start) > max(value(start + rng.normal(0, 0.1, len(start))) for _ in range(20))
+
+
+def test_a_document_of_both_kinds_of_line(spark):
+    """The share of words in content lines decides: junk lines outweigh or not."""
+    made = spark.createDataFrame([junk(i) for i in range(300)], "doc_id long, text string")
+    field = fit_field(made, spark.createDataFrame([(i, i % 2) for i in range(300)], "doc_id long, quality int"))
+    bad = junk(0)[1].split("\n")
+    good = [f"Another line of {w} is calm and plain and ends." for w in ("them", "words", "these", "those", "a sentence", "the kind", "our sort", "his")]
+    rows = [(k, "\n".join(bad[: len(bad) * k // 4] + good[: len(good) * (4 - k) // 4])) for k in range(5)]
+    got = {r.doc_id: r for r in quality_rules(spark.createDataFrame(rows, "doc_id long, text string"), field, least_words=1, most_repeated=100).collect()}
+    share = [got[k].content_share for k in range(5)]
+    assert share == sorted(share, reverse=True) and share[0] > 0.9 and 0.2 < share[2] < 0.9 and share[4] < 0.1
+    assert all(got[k].kept == (share[k] >= 0.5) for k in range(5))
+
+
 @given(st.lists(st.tuples(st.integers(1, 5), st.floats(0, 1)), min_size=1, max_size=20))
 def test_pools_ascend(groups):
     count, total = np.array([c for c, _ in groups], float), np.array([c * m for c, m in groups])
