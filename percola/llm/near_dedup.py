@@ -11,13 +11,15 @@ Plan, for documents D:
    yields a spanning forest of the pairs at THRESHOLD or above, never all pairs. Postings are counted
    exactly, summed up before they move; a list above LIST_BLOCK is cut into blocks, and each pair of blocks is a task.
 4. Components of that forest hold every candidate pair. Each is verified on full sets, in blocks
-   of bounded rows and shingles, again emitting a spanning forest of the confirmed links.
+   of bounded rows and shingles, again emitting a spanning forest of the confirmed links. Linked sets are of
+   like sizes, so in a component of several blocks only those of neighbouring sizes are paired.
 5. Components of the links, carried back to all members of each class.
 A pair at similarity 0.85 misses THRESHOLD with probability below 3e-7 (Chernoff bound for 36 of 64).
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -285,6 +287,32 @@ def _confirm(k: int, above: int, out_of: int):
     return run
 
 
+def _compared(sized: DataFrame, percent: int, staged: Staged) -> DataFrame:
+    """(doc_id, cluster, pair): the tasks in which a member of a candidate component is compared.
+
+    A component of one block is one task. In a larger one, members are dealt to bands of set sizes, so wide that linked
+    sets are in one band or in neighbouring ones, bands to blocks, and blocks of such bands are paired. A document whose
+    rows have sets of several sizes is in all bands between them.
+    """
+    needed = lambda n: F.greatest(F.ceil(F.count("*") / ROWS_BLOCK), F.ceil(F.sum(n) / SHINGLES_BLOCK), F.lit(1)).cast("long")
+    whole = staged.put(sized.groupBy("cluster").agg(needed("most").alias("blocks")), "cluster-blocks")
+    small = sized.join(whole.where("blocks = 1"), "cluster", "left_semi").select("doc_id", "cluster", F.lit(-1).cast("long").alias("pair"))
+    width = -math.log(percent / 100) * (1 + 1e-9) if percent < 100 else 1e-9
+    band = lambda n: F.floor(F.log(F.col(n).cast("double")) / width).cast("long")
+    large = sized.join(whole.where("blocks > 1"), "cluster", "left_semi")
+    large = staged.put(large.select("doc_id", "cluster", "most", F.explode(F.sequence(band("n"), band("most"))).alias("band")), "cluster-bands")
+    bands = staged.put(large.groupBy("cluster", "band").agg(needed("most").alias("blocks")), "band-blocks")
+    # the two bands beside a band, and itself
+    near = bands.select("cluster", F.explode(F.sequence(F.col("band") - 1, F.col("band") + 1)).alias("band"), F.struct(F.col("band").alias("at"), "blocks").alias("other"))
+    near = near.groupBy("cluster", "band").agg(F.collect_list("other").alias("others")).join(bands, ["cluster", "band"])
+    code = lambda at, block: at * (1 << 22) + block
+    own = code(F.col("band"), F.pmod(F.xxhash64("doc_id"), F.col("blocks")))
+    paired = large.join(near, ["cluster", "band"]).select("doc_id", "cluster", own.alias("own"), F.explode("others").alias("x"))
+    paired = paired.select("doc_id", "cluster", "own", F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("x.blocks") - 1), lambda i: code(F.col("x.at"), i))).alias("other"))
+    pair = F.least("own", "other") * (1 << 31) + F.greatest("own", "other")
+    return small.union(paired.select("doc_id", "cluster", pair.alias("pair")))
+
+
 def near_duplicates(
     docs: DataFrame, k: int = 5, percent: int = 85, staged: Staged | None = None
 ) -> DataFrame:
@@ -324,17 +352,11 @@ def near_duplicates(
     candidates = staged.put(postings.mapInArrow(_merge(percent / 100), "src long, dst long").where("src <> dst").distinct(), "candidates")
     clusters = staged.put(connected_components(candidates, staged=staged), "clusters")
 
-    sized = reps.groupBy("doc_id").agg(F.max("n").alias("n")).join(clusters, F.col("doc_id") == F.col("node")).select("doc_id", F.col("component").alias("cluster"), "n")
+    sized = reps.join(clusters, F.col("doc_id") == F.col("node")).groupBy("doc_id").agg(F.first("component").alias("cluster"), F.min("n").alias("n"), F.max("n").alias("most"))
     sized = staged.put(sized, "cluster-members")
-    blocks = sized.groupBy("cluster").agg(
-        F.greatest(F.ceil(F.count("*") / ROWS_BLOCK), F.ceil(F.sum("n") / SHINGLES_BLOCK), F.lit(1)).cast("long").alias("blocks")
-    )
-    blocks = staged.put(blocks, "cluster-blocks")
-    tasks = sized.join(blocks, "cluster").withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")))
-    tasks = tasks.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    pair = F.least("own", "other") * (1 << 31) + F.greatest("own", "other")
+    tasks = _compared(sized, percent, staged)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(sized.select("doc_id"), "doc_id", "left_semi")
-    tasks = tasks.select("doc_id", "cluster", pair.alias("pair")).join(texts, "doc_id")
+    tasks = tasks.join(texts, "doc_id")
     tasks = tasks.repartition(F.col("cluster"), F.col("pair")).sortWithinPartitions("cluster", "pair")
     links = staged.put(tasks.mapInArrow(_confirm(k, percent, 100), "src long, dst long").where("src <> dst").distinct(), "links")
     # rows that repeat a doc_id with other sets tie those classes together

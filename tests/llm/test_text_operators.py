@@ -201,6 +201,26 @@ def test_near_duplicates_of_many_copies(spark):
     assert got == want and got[1000] == 1000
 
 
+@pytest.mark.parametrize("percent", [80, 85, 100])
+def test_chains_of_growing_sets(spark, monkeypatch, percent):
+    """Candidate components of many blocks and bands: texts that grow word by word, so that near ones are of neighbouring sizes."""
+    from percola.llm import near_dedup
+
+    monkeypatch.setattr(near_dedup, "ROWS_BLOCK", 8)
+    monkeypatch.setattr(near_dedup, "LIST_BLOCK", 16)
+    rng = random.Random(12)
+    rows = []
+    for c in range(3):
+        words = [f"w{c}x{i}" for i in range(260)]
+        rows += [(1000 * c + i, " ".join(words[: 20 + 2 * i])) for i in rng.sample(range(120), 70)]
+    rows += [(5000 + i, f"one {' '.join(f'n{i}y{k}' for k in range(6))} end") for i in range(30)]
+    rows += [(1003, rows[3][1] + " and more"), (None, rows[5][1])]
+    want, _ = brute_near(rows, percent)
+    got = {r.doc_id: r.component_id for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), percent=percent).collect()}
+    got.pop(None)
+    assert got == want
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.text(alphabet="abAB é\n\t\0\x1c.1", max_size=40), min_size=1, max_size=6))
 def test_shingle_sets(texts):
