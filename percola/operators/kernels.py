@@ -51,10 +51,47 @@ class Csr:
         return Csr(self.nodes[kept], np.concatenate([[0], np.cumsum(counts)]), place[b[ok]]), kept
 
 
+def lasting_arcs(g: Csr, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ends of a forest that joins, for each k, the same nodes as the graph of nodes whose place is k or more.
+
+    An arc lasts until the first of its ends goes; of all spanning forests this one's arcs last longest. In each round
+    every tree takes its longest-lasting arc to another tree, for all trees at once.
+    """
+    a, b = g.arcs()
+    once = a < b
+    a, b = a[once], b[once]
+    last = np.argsort(-np.minimum(place[a], place[b]), kind="stable")
+    a, b = a[last], b[last]
+    rank = np.arange(len(a))
+    tree, taken = np.arange(g.n), np.zeros(len(a), bool)
+    ta, tb, live = a, b, rank
+    while len(live):
+        best = np.full(g.n, len(a))
+        # arcs are in order of rank, so that of several writes the last, reversed, is the best
+        best[ta[::-1]] = live[::-1]
+        other = np.full(g.n, len(a))
+        other[tb[::-1]] = live[::-1]
+        best = np.minimum(best, other)
+        own = np.flatnonzero(best < len(a))
+        taken[best[own]] = True
+        up = np.arange(g.n)
+        x, y = tree[a[best[own]]], tree[b[best[own]]]
+        up[own] = np.where(x == own, y, x)
+        both = up[up[own]] == own  # two trees that chose one arc: the lesser stays the root
+        up[own[both & (own < up[own])]] = own[both & (own < up[own])]
+        while (up[up] != up).any():
+            up = up[up]
+        tree = up[tree]
+        ta, tb = tree[a[live]], tree[b[live]]
+        apart = ta != tb
+        ta, tb, live = ta[apart], tb[apart], live[apart]
+    return a[taken], b[taken]
+
+
 def removal_curve(g: Csr, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sizes of the two largest components after each of the first 0..N removals of `order` (places).
 
-    Nodes come back in reverse; sets merge, and a count for each size tells the two largest: the
+    Nodes come back in reverse, with the arcs of a forest that lasts longest; sets merge, and a count for each size tells the two largest: the
     greatest never falls, the second is looked for downwards from what it can be at most.
     """
     n = g.n
@@ -62,7 +99,14 @@ def removal_curve(g: Csr, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         raise ValueError("an order must hold each node once")
     parent, size, count = list(range(n)), [0] * n, [0] * (n + 2)
     s1, s2 = [0] * (n + 1), [0] * (n + 1)
-    to, start = g.to.tolist(), g.start.tolist()
+    place = np.empty(n, np.int64)
+    place[order] = np.arange(n)
+    a, b = lasting_arcs(g, place)
+    # an arc counts where its end of the lower place comes back
+    low = np.where(place[a] < place[b], a, b)
+    by = np.argsort(low, kind="stable")
+    to = np.where(low == a, b, a)[by].tolist()
+    start = np.concatenate([[0], np.cumsum(np.bincount(low, minlength=n))]).tolist()
     first = second = 0
     for k in range(n - 1, -1, -1):
         v = int(order[k])
@@ -83,12 +127,13 @@ def removal_curve(g: Csr, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
                     root = big
         made = size[root]
         # `size` of merged sets stays positive, so it also marks nodes that are back
-        most = max(second, first, made)
-        first = max(first, made)
+        before, first = first, max(first, made)
         if count[first] > 1:
             second = first
         else:
-            second = min(most, first - 1)
+            # no more than the second before, the set that was made, or the greatest before if it is still there
+            other = made if before == first else before if count[before] else 0
+            second = min(max(second, other), first - 1)
             while second > 0 and not count[second]:
                 second -= 1
         s1[k], s2[k] = first, second

@@ -71,6 +71,18 @@ def coordinate_check(df: DataFrame, lat: str = "lat", lon: str = "lon") -> DataF
     return df.agg(F.count("*").alias("n_rows"), F.count_if(missing).alias("n_missing"), F.count_if(outside).alias("n_out_of_range"))
 
 
+def null_rows(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """(n_rows, n_with_null): rows, and those with a null or NaN in any of the columns (all by default)."""
+    kinds = dict(df.dtypes)
+    empty = [F.col(c).isNull() | F.isnan(c) if kinds[c] in ("double", "float") else F.col(c).isNull() for c in columns or df.columns]
+    return df.agg(F.count("*").alias("n_rows"), F.count_if(reduce(lambda a, b: a | b, empty)).alias("n_with_null"))
+
+
+def with_coordinates(df: DataFrame, lat: str = "lat", lon: str = "lon") -> DataFrame:
+    """Rows that have both, neither null nor NaN."""
+    return df.dropna(subset=[lat, lon])
+
+
 def group_mean(df: DataFrame, group: str, value: str, name: str) -> DataFrame:
     """df with the mean of its group (null is a group): summed up in tasks before it moves, then joined, so that no group is one task's."""
     means = df.groupBy(F.col(group).alias("_group")).agg(F.avg(value).alias(name))

@@ -106,6 +106,24 @@ def latlon_sanity(spark: SparkSession, sf: str) -> DataFrame:
     return statistics.coordinate_check(v.places(spark, sf).withColumn("lat", lat))
 
 
+_GAPS = "SELECT node, CASE WHEN node % 11 = 0 THEN NULL WHEN node % 13 = 0 THEN 'NaN'::DOUBLE ELSE lat END AS lat, CASE WHEN node % 7 > 0 THEN lon END AS lon FROM c"
+
+
+def _with_gaps(spark: SparkSession, sf: str) -> DataFrame:
+    lat = F.when(F.col("node") % 11 == 0, F.lit(None).cast("double")).when(F.col("node") % 13 == 0, F.lit(float("nan"))).otherwise(F.col("lat"))
+    return v.places(spark, sf).select("node", lat.alias("lat"), F.when(F.col("node") % 7 > 0, F.col("lon")).alias("lon"))
+
+
+@query(with_views("SELECT count(*) AS n_rows, count(*) FILTER (lat IS NULL OR isnan(lat) OR lon IS NULL) AS n_with_null FROM g", c=v.PLACES_SQL, g=_GAPS))
+def null_row_count(spark: SparkSession, sf: str) -> DataFrame:
+    return statistics.null_rows(_with_gaps(spark, sf))
+
+
+@query(with_views("SELECT node FROM g WHERE lat IS NOT NULL AND NOT isnan(lat) AND lon IS NOT NULL", c=v.PLACES_SQL, g=_GAPS))
+def drop_without_coordinates(spark: SparkSession, sf: str) -> DataFrame:
+    return statistics.with_coordinates(_with_gaps(spark, sf)).select("node")
+
+
 @query(with_views("SELECT label, protocol, coalesce(m, 0) AS m, stochastic_id, removed, p FROM c WHERE removed % 3 = 0 OR removed = 20", c=v.CURVES_SQL))
 def curve_subsample(spark: SparkSession, sf: str) -> DataFrame:
     return _plain_m(curves.subsample(v.synthetic_curves(spark, sf), 3, F.lit(20)).select("label", "protocol", "m", "stochastic_id", "removed", "p"))

@@ -39,6 +39,14 @@ def read_edge_list(spark: SparkSession, path: str, include_missing: bool = True,
     return Graph(nodes, canonical_edges(pairs))
 
 
+def read_plain_edges(spark: SparkSession, path: str) -> DataFrame:
+    """(src, dst) of a file that is known to be good: the first two numbers of each line, as they stand. Comments and blank lines go; nothing is checked, merged or filled."""
+    line = F.trim(F.regexp_replace("value", r"\s+", " "))
+    part = F.split("line", " ")
+    rows = spark.read.text(path).select(line.alias("line")).where("line <> '' and not startswith(line, '#')")
+    return rows.select(F.try_element_at(part, F.lit(1)).try_cast("bigint").alias("src"), F.try_element_at(part, F.lit(2)).try_cast("bigint").alias("dst"))
+
+
 def read_header(spark: SparkSession, path: str) -> tuple[int, int] | None:
     """(N, E) from a comment `# N=... E=...` among the first five lines, if there is one."""
     head = spark.read.text(path).limit(5).select(F.regexp_extract("value", r"N=(\d+)\s+E=(\d+)", 1).alias("n"), F.regexp_extract("value", r"N=(\d+)\s+E=(\d+)", 2).alias("e")).where("n <> ''").collect()

@@ -201,6 +201,11 @@ def test_tables_for_people(spark, tmp_path):
     assert text("m") == ["new_id,original_id,lat,lon", "1,A.1,0.5,"]
 
 
+def test_plain_edges(spark, tmp_path):
+    (tmp_path / "e.txt").write_text("# a comment\n\n 3  1 1\n2 2\n1 3\n")
+    assert sorted(map(tuple, sources.read_plain_edges(spark, str(tmp_path / "e.txt")).collect())) == [(1, 3), (2, 2), (3, 1)]
+
+
 def test_small_things(spark):
     assert [scalar.format_duration(s) for s in (0, 59.4, 59.6, 245, 3723)] == ["0s", "59s", "1m00s", "4m05s", "1h02m03s"]
     df = spark.createDataFrame([([1, 2, 3], [2, 3, 4]), ([], [])], "a array<int>, b array<int>")
