@@ -12,11 +12,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from percola.llm import ragged
+from percola.session import Staged
 
 #: Words of a fingerprint; with windows of 13 words, each window of 13 - 8 + 1 = 6 fingerprints keeps one.
 GRAM = 8
 #: Text bytes of benchmark items that one broadcast block holds; more items make more blocks.
 BLOCK_BYTES = 16_000_000
+#: With several blocks, a bitmap of all fingerprints says which documents can have a hit: between so many bits (2**k), 128 MB at most.
+BITMAP_LOG2 = (20, 30)
 
 
 def winnow(hashes: np.ndarray, first: np.ndarray, span: int) -> np.ndarray:
@@ -37,6 +40,21 @@ def winnow(hashes: np.ndarray, first: np.ndarray, span: int) -> np.ndarray:
     return np.unique(best[inside])
 
 
+def probes(kind: str, size: int, hashes: np.ndarray, first: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all runs of `size` words, and the indices of those that are looked up: winnowed ones for long items, all for short ones."""
+    own = ragged.windows(hashes, size)
+    if not len(own):
+        return own, np.zeros(0, np.int64)
+    n = np.diff(first)
+    whole = np.arange(len(own)) + size <= np.repeat(first[1:], n)[: len(own)]
+    if kind == "short":
+        return own, np.flatnonzero(whole)
+    # only texts of `window` words can hold a window; keep one fingerprint in each of its runs
+    idx = np.flatnonzero(whole & (np.repeat(n, n)[: len(own)] >= window))
+    counts = np.where(n >= window, n - size + 1, 0)
+    return own, idx[winnow(own[idx], np.concatenate([[0], np.cumsum(counts)]), window - size + 1)]
+
+
 class Index:
     """Windows of benchmark items, for one block of them: plain arrays, sized by the block.
 
@@ -89,18 +107,9 @@ class Index:
         n = np.diff(first)
         last = np.repeat(first[1:], n)
         for (kind, size), (grams, at, item) in self.by_length.items():
-            own = ragged.windows(hashes, size)
+            own, idx = probes(kind, size, hashes, first, self.window)
             if not len(own):
                 continue
-            whole = np.arange(len(own)) + size <= last[: len(own)]
-            if kind == "long":
-                # only texts of `window` words can hold a window; keep one fingerprint in each of its runs
-                able = whole & (np.repeat(n, n)[: len(own)] >= self.window)
-                idx = np.flatnonzero(able)
-                counts = np.where(n >= self.window, n - size + 1, 0)
-                idx = idx[winnow(own[idx], np.concatenate([[0], np.cumsum(counts)]), self.window - size + 1)]
-            else:
-                idx = np.flatnonzero(whole)
             lo, hi = np.searchsorted(grams, own[idx]), np.searchsorted(grams, own[idx], "right")
             some = hi > lo
             idx, lo, many = idx[some], lo[some], (hi - lo)[some]
@@ -167,6 +176,51 @@ def _scan(index, with_text: bool):
     return run
 
 
+def _bitmap(benchmark: DataFrame, block_bytes: int, window: int) -> tuple[bytes, int, list[tuple[str, int]]]:
+    """Bits at the top bits of every fingerprint of the benchmark, how many top bits, and the kinds and lengths of its windows."""
+    size = benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    log2 = min(BITMAP_LOG2[1], max(BITMAP_LOG2[0], (8 * size).bit_length()))
+    bits, kinds = np.zeros(1 << (log2 - 3), np.uint8), set()
+    for items in _blocks(benchmark, block_bytes):
+        index = Index(items, window, GRAM)
+        kinds |= set(index.by_length)
+        for grams, _, _ in index.by_length.values():
+            at = (grams >> np.uint64(64 - log2)).astype(np.int64)
+            np.bitwise_or.at(bits, at >> 3, (1 << (at & 7)).astype(np.uint8))
+    return bits.tobytes(), log2, sorted(kinds)
+
+
+def _can_hit(sent, window: int):
+    """Rows, without further columns, of texts that have a fingerprint in the bitmap."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        data, log2, kinds = sent.value
+        bits = np.frombuffer(data, np.uint8)
+        for batch in batches:
+            for part in ragged.slices(batch):
+                buf, off = ragged.utf8(part.column("text"))
+                mapped, begin, end, first = ragged.words(buf, off, ragged.ALNUM_LOWER)
+                hashes = ragged.word_hashes(mapped, begin, end)
+                found = np.zeros(part.num_rows, bool)
+                for kind, size in kinds:
+                    own, idx = probes(kind, size, hashes, first, window)
+                    at = (own[idx] >> np.uint64(64 - log2)).astype(np.int64)
+                    hit = idx[(bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1]
+                    found[np.searchsorted(first, hit, "right") - 1] = True
+                yield part.filter(pa.array(found))
+
+    return run
+
+
+def _no_hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for part in ragged.slices(batch, "_text"):
+            buf, off = ragged.utf8(part.column("_text"))
+            first = ragged.words(buf, off, ragged.ALNUM_LOWER)[3]
+            rest = [(c, n) for c, n in zip(part.columns, part.schema.names, strict=True) if n != "_text"]
+            yield pa.RecordBatch.from_arrays([*[c for c, _ in rest], pa.array(np.diff(first))], [*[n for _, n in rest], "n_words"])
+
+
 def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[str, str]]]:
     """Items in blocks of about block_bytes, streamed through the driver a partition at a time; order doesn't matter."""
     held: list[tuple[str, str]] = []
@@ -183,7 +237,8 @@ def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[str,
 
 
 def contamination(
-    docs: DataFrame, benchmark: DataFrame, window: int = 13, percent: int = 5, block_bytes: int = BLOCK_BYTES, key: str = "doc_id", keep: list[str] | None = None
+    docs: DataFrame, benchmark: DataFrame, window: int = 13, percent: int = 5, block_bytes: int = BLOCK_BYTES, key: str = "doc_id", keep: list[str] | None = None,
+    staged: Staged | None = None,
 ) -> DataFrame:
     """(columns keep, n_words, n_hit, spans, item_ids, contaminated) for each row of docs; keep is the key by default.
 
@@ -195,7 +250,8 @@ def contamination(
     Fingerprints are minima of GRAM-word hashes over runs of window - GRAM + 1, on both sides, so every
     shared span of `window` words has a common one; a hit is extended word by word. The benchmark is
     broadcast in blocks of bounded size; with one block, documents are read once and nothing is shuffled.
-    With more, each block makes a pass and the passes' hits meet by key.
+    With more, a bitmap of all fingerprints, of bounded size too, first picks the documents that can have a hit; each
+    block then makes a pass over those, and all passes' hits meet the documents in one join by key.
 
     Null or wordless text: no words, no hits. Null or repeated keys: one result row for each row of docs
     (with several blocks, hits of rows with equal keys and equal word counts are united). Null items are
@@ -208,24 +264,32 @@ def contamination(
     keep = [key] if keep is None else [key, *[c for c in keep if c != key and c.lower() not in added]]
     sent = docs.select(*keep, *(["text"] if "text" not in keep else []))
 
-    def scan(frame: DataFrame, items: list[tuple[str, str]]) -> DataFrame:
+    def scan(frame: DataFrame, items: list[tuple[str, str]], keep: list[str] = keep) -> DataFrame:
         index = sc.broadcast(pickle.dumps(Index(items, window, GRAM)))
         carried = [f for f in frame.schema.fields if f.name != "text" or "text" in keep]
         added = [T.StructField("n_words", T.LongType()), T.StructField("spans", T.ArrayType(T.LongType())), T.StructField("items", T.ArrayType(T.StringType()))]
         return frame.mapInArrow(_scan(index, "text" in keep), T.StructType([*carried, *added]))
 
     blocks = _blocks(benchmark, block_bytes)
-    found = scan(sent, next(blocks, []))
-    for items in blocks:
-        hits = scan(docs.select(F.col(key).alias("_k"), "text"), items)
-        hits = hits.where(F.size("spans") > 0).groupBy("_k", F.col("n_words").alias("_n")).agg(
-            F.flatten(F.collect_list("spans")).alias("_s"), F.flatten(F.collect_list("items")).alias("_i")
+    first, second = next(blocks, []), next(blocks, None)
+    if second is None:
+        found = scan(sent, first)
+    else:
+        staged = staged or Staged(docs.sparkSession)
+        bitmap = sc.broadcast(_bitmap(benchmark, block_bytes, window))
+        narrow = docs.select(F.col(key).alias("_k"), "text")
+        some = staged.put(narrow.mapInArrow(_can_hit(bitmap, window), narrow.schema), "can-hit")
+        hits = None
+        for items in _blocks(benchmark, block_bytes):
+            part = staged.put(scan(some, items, ["_k"]).where(F.size("spans") > 0), "hits")
+            hits = part if hits is None else hits.union(part)
+        hits = hits.groupBy("_k", F.col("n_words").alias("_n")).agg(F.flatten(F.collect_list("spans")).alias("_s"), F.flatten(F.collect_list("items")).alias("_i"))
+        counted = sent.withColumn("_text", F.col("text")) if "text" in keep else sent.withColumnRenamed("text", "_text")
+        fields = [f for f in counted.schema.fields if f.name != "_text"]
+        counted = counted.mapInArrow(_no_hits, T.StructType([*fields, T.StructField("n_words", T.LongType())]))
+        found = counted.join(hits, F.col(key).eqNullSafe(F.col("_k")) & (F.col("n_words") == F.col("_n")), "left").select(
+            *keep, "n_words", F.coalesce("_s", F.array().cast("array<long>")).alias("spans"), F.coalesce("_i", F.array().cast("array<string>")).alias("items")
         )
-        found = found.join(hits, F.col(key).eqNullSafe(F.col("_k")) & (F.col("n_words") == F.col("_n")), "left").select(
-            *keep, "n_words",
-            F.concat("spans", F.coalesce("_s", F.array().cast("array<long>"))).alias("spans"),
-            F.concat("items", F.coalesce("_i", F.array().cast("array<string>"))).alias("items"),
-        )
     # covered words: sorted by begin, each range adds what lies beyond all ranges before it
     end = lambda i, add: F.col("spans")[(2 * i + add).cast("int")]
     ranges = F.transform(F.sequence(F.lit(0), (F.size("spans") / 2 - 1).cast("int")), lambda i: F.struct(end(i, 0).alias("a"), end(i, 1).alias("b")))
