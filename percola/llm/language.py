@@ -21,8 +21,8 @@ from percola.session import Staged
 TRAIN_BYTES, TRAIN_DOCS, SHARE_BYTES = 16_000, 64, 4_000
 #: Languages whose automata are broadcast at once (some 6 MB for each); further ones take further passes over the texts.
 PASS_LANGUAGES = 16
-#: Parts that a language's rows are dealt to before its training documents are chosen.
-PARTS = 256
+#: Parts that a language's rows are dealt to, step by step, before its training documents are chosen.
+PARTS = (256, 16)
 #: Texts are parsed in blocks of so many bytes; a phrase ends at a block's end.
 BLOCK = 2048
 
@@ -160,16 +160,18 @@ def training_texts(docs: DataFrame, train_bytes: int = TRAIN_BYTES, train_docs:
 
     Each gives its first share_bytes, in order of the hashes; if that doesn't fill the bytes, they give what follows.
 
-    Only (lang, doc_id, hash) rows are ranked, in two steps: a language's rows are dealt by the hash, so that one with
-    most of the corpus is PARTS groups, and each task keeps the first train_docs before it shuffles. The texts of
+    Only (lang, doc_id, hash) rows are ranked, in three steps: a language's rows are dealt by the hash to ever fewer
+    parts, each of which keeps its first train_docs, so that a language with most of the corpus is many tasks' work. The texts of
     those that remain, and no others, are then taken from the table.
     """
     labelled = docs.select("doc_id", "lang", "text").where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
     labelled = labelled.where(F.col("text").rlike(r"\p{L}")).withColumn("hash", F.xxhash64("doc_id", "text"))
     least = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy("hash", "doc_id"))
-    dealt = labelled.select("lang", "doc_id", "hash", F.pmod("hash", F.lit(PARTS)).alias("part"))
-    dealt = dealt.withColumn("n", least("lang", "part")).where(F.col("n") <= train_docs)
-    chosen = dealt.select("lang", "doc_id", "hash").distinct().withColumn("n", least("lang")).where(F.col("n") <= train_docs)
+    chosen = labelled.select("lang", "doc_id", "hash")
+    for parts in PARTS:
+        chosen = chosen.withColumn("part", F.pmod("hash", F.lit(parts))).withColumn("n", least("lang", "part")).where(F.col("n") <= train_docs)
+        chosen = chosen.select("lang", "doc_id", "hash")
+    chosen = chosen.distinct().withColumn("n", least("lang")).where(F.col("n") <= train_docs)
     # train_docs narrow rows a language: far less than its automaton, which is broadcast too
     rows = labelled.join(F.broadcast(chosen), ["lang", "doc_id", "hash"])
     again = F.row_number().over(Window.partitionBy("lang", "doc_id", "hash").orderBy("n"))
