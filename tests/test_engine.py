@@ -320,3 +320,18 @@ def test_prepare_and_extract(spark):
     assert {r.original_id for r in workflows.extract_local(p.edges, p.mapping, workflows.in_country("b")).mapping.collect()} == {"B.3", "B.4"}
     table = workflows.master_table(p.mapping, spark.createDataFrame([(1, 5)], "node long, degree long"), spark.createDataFrame([(2, 0.5)], "node long, random double"))
     assert table.count() == 4 and table.where("degree is null").count() == 3
+
+
+def test_a_mapped_graph_is_the_same(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    rows = [(int(a) * 7 - 50, int(b) * 7 - 50) for a, b in rng.integers(0, 60, (400, 2))]
+    edges, nodes = spark.createDataFrame([*rows, (6, 6)], "src long, dst long"), spark.createDataFrame([(9999,), (-43,)], "node long")
+    monkeypatch.setattr(robustness, "PIECE", 100)
+    whole = robustness.gather_graph(edges, nodes)
+    monkeypatch.setattr(robustness, "IN_MEMORY", 0)
+    mapped = robustness.gather_graph(edges, nodes, in_memory=0)
+    assert isinstance(mapped.to, np.memmap) and mapped.nodes.tolist() == whole.nodes.tolist()
+    assert mapped.start.tolist() == whole.start.tolist() and mapped.to.tolist() == whole.to.tolist()
+    scores = lambda g: sorted(map(tuple, robustness.betweenness_of(spark, g, k=16).collect()))
+    assert [n for n, _ in scores(mapped)] == [n for n, _ in scores(whole)]
+    assert [x for _, x in scores(mapped)] == pytest.approx([x for _, x in scores(whole)])

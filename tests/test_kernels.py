@@ -158,3 +158,11 @@ def test_hierarchical_walks(level, n_arcs):
             assert rank[node] == pytest.approx(c, abs=1e-9) and mean[node] == pytest.approx(q, abs=1e-9)
 
 
+
+
+def test_betweenness_in_pieces():
+    # fewer arcs allowed than one source has: they are looked for again on the way back
+    g = built(40, [(i, (i * k + 1) % 40) for i in range(40) for k in (1, 3, 7)])
+    whole = brute_betweenness(built(7, [(0, 1), (1, 2), (2, 3), (3, 0), (3, 4), (4, 5), (5, 6), (6, 3)]))
+    assert kernels.betweenness(built(7, [(0, 1), (1, 2), (2, 3), (3, 0), (3, 4), (4, 5), (5, 6), (6, 3)]), arcs=3) == pytest.approx(whole)
+    assert kernels.betweenness(g, arcs=9) == pytest.approx(kernels.betweenness(g))
