@@ -57,3 +57,8 @@ def test_adaptive_betweenness_takes_every_source(monkeypatch):
     monkeypatch.setattr(q, "_attack", lambda *a, **settings: asked.update(settings))
     q.QUERIES["adaptive_betweenness"](None, "")
     assert asked.get("btw_k") is None
+
+
+def test_edge_jaccard_joins_no_wedges(spark, sf, monkeypatch):
+    monkeypatch.setattr("percola.operators.graph.common_neighbours", None)
+    assert sorted(map(tuple, q.QUERIES["edge_jaccard"](spark, sf).collect())) == [(1, 2, 0, 1, 0.0), (2, 3, 0, 1, 0.0), (4, 5, 0, 0, None), (6, 7, 0, 0, None)]
