@@ -348,3 +348,13 @@ def test_grid_of_forest_needs_no_component_search(spark, monkeypatch):
     monkeypatch.setattr(curves, "FOREST_PIECE", 10)
     monkeypatch.setattr(curves, "connected_components", None)
     assert got() == searched
+
+
+def test_kernels_take_a_mapped_graph(spark, net, monkeypatch):
+    work = robustness.combos(spark, ["adap_degree", "local_sensing"], [1, 3], 2)
+    runs = lambda: sorted((r.protocol, r.m or 0, r.stochastic_id, r.nodes) for r in robustness.simulate(net, work, RunConfig()).collect())
+    found = lambda: sorted(map(tuple, robustness.louvain(net).collect()))
+    before = runs(), found()
+    gather = robustness.gather_graph
+    monkeypatch.setattr(robustness, "gather_graph", lambda e, n=None: gather(e, n, in_memory=0))
+    assert (runs(), found()) == before
