@@ -388,3 +388,20 @@ def test_lines_move_once_for_pairs(spark, tmp_path):
     # the join's two sides are the same exchange; the other one is of pairs
     assert keys and not any("l_orderkey" in x and "l_partkey" in x for x in keys)
     assert len(keys) <= 3
+
+
+@pytest.mark.parametrize("n,links", [(3, 2), (70, 150), (900, 2500)])
+def test_exact_betweenness_of_the_jvm_is_the_kernels(spark, n, links, monkeypatch):
+    rng = np.random.default_rng(n)
+    rows = [(int(a) * 3 - 40, int(b) * 3 - 40) for a, b in rng.integers(0, n, (links, 2))]
+    # a path has more levels than a graph by chance
+    rows += [(10_000 + i, 10_001 + i) for i in range(40)]
+    edges, nodes = spark.createDataFrame(rows, "src long, dst long"), spark.createDataFrame([(99_999,)], "node long")
+    g = robustness.gather_graph(edges, nodes)
+    want = kernels.betweenness(g) / 2
+    monkeypatch.setattr(kernels, "betweenness", None)
+    got = {r.node: r.betweenness for r in robustness.betweenness_of(spark, g).collect()}
+    assert sorted(got) == g.nodes.tolist() and [got[v] for v in g.nodes.tolist()] == pytest.approx(want)
+    pairs = (g.n - 1) * (g.n - 2) / 2
+    shares = {r.node: r.betweenness for r in robustness.betweenness_of(spark, g, normalised=True).collect()}
+    assert [shares[v] for v in g.nodes.tolist()] == pytest.approx(want / pairs)
