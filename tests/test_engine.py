@@ -405,3 +405,20 @@ def test_exact_betweenness_of_the_jvm_is_the_kernels(spark, n, links, monkeypatc
     pairs = (g.n - 1) * (g.n - 2) / 2
     shares = {r.node: r.betweenness for r in robustness.betweenness_of(spark, g, normalised=True).collect()}
     assert [shares[v] for v in g.nodes.tolist()] == pytest.approx(want / pairs)
+
+
+def test_cascades_by_rounds_are_the_kernels(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    rows = sorted({tuple(sorted(map(int, e))) for e in rng.integers(0, 90, (140, 2)) if e[0] != e[1]})
+    edges = spark.createDataFrame(rows, "src long, dst long")
+    nodes = sorted({x for r in rows for x in r})[:8]
+    triggers = spark.createDataFrame([(v, "t") for v in nodes], "trigger_node long, trigger_type string")
+    found = lambda **k: sorted(map(tuple, robustness.cascades(edges, triggers, 0.1, **k).collect()))
+    want = found()
+    assert len({r[2] for r in want}) > 1
+    monkeypatch.setattr(robustness, "IN_ONE_CALL", 0)
+    monkeypatch.setattr(kernels, "cascade", None)
+    assert found() == want
+    scores = robustness.betweenness(edges).cache()
+    monkeypatch.setattr(robustness, "betweenness_of", None)
+    assert found(scores=scores) == want
