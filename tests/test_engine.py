@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from percola import session
 from percola.functions import scalar
-from percola.operators import curves, kernels, ranking, robustness, statistics, walks
+from percola.operators import curves, jvm, kernels, ranking, robustness, statistics, walks
 from percola.operators.robustness import RunConfig
 from percola.plans import launcher
 from percola.session import Staged
@@ -422,3 +422,21 @@ def test_cascades_by_rounds_are_the_kernels(spark, monkeypatch):
     scores = robustness.betweenness(edges).cache()
     monkeypatch.setattr(robustness, "betweenness_of", None)
     assert found(scores=scores) == want
+
+
+@pytest.mark.parametrize("k", [None, 20])
+def test_adaptive_betweenness_of_the_jvm_is_the_kernels(spark, k):
+    rng = np.random.default_rng(4)
+    edges = spark.createDataFrame([(int(a) * 3 - 40, int(b) * 3 - 40) for a, b in rng.integers(0, 150, (400, 2))], "src long, dst long")
+    config = RunConfig(protocols=("betweenness", "adap_betweenness"), n_attacks=2, btw_update=7, btw_k=k)
+    work = robustness.combos(spark, ["betweenness", "adap_betweenness"], [], 2).cache()
+    g = robustness.gather_graph(edges)
+    static, *want = [
+        g.nodes[robustness.compute_order(g, p, None, robustness.combo_rng(config.seed, p, None, i), 7, k)].tolist() for p, i in (("betweenness", 1), ("adap_betweenness", 1), ("adap_betweenness", 2))
+    ]
+    assert want[0] != want[1]
+    done = robustness.simulate(edges, work, config, timed=True)
+    assert jvm.adaptive_order(spark) in done._jdf.queryExecution().executedPlan().toString()
+    got = {(r.protocol, r.stochastic_id): r for r in done.collect()}
+    assert got["betweenness", 1].nodes == static and [got["adap_betweenness", i].nodes for i in (1, 2)] == want
+    assert all(r.seconds > 0 for r in got.values())
