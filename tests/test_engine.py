@@ -440,3 +440,22 @@ def test_adaptive_betweenness_of_the_jvm_is_the_kernels(spark, k):
     got = {(r.protocol, r.stochastic_id): r for r in done.collect()}
     assert got["betweenness", 1].nodes == static and [got["adap_betweenness", i].nodes for i in (1, 2)] == want
     assert all(r.seconds > 0 for r in got.values())
+
+
+def test_rounds_of_exact_adaptive_betweenness_are_dealt_and_shared(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    edges = spark.createDataFrame([(int(a) * 2, int(b) * 2) for a, b in rng.integers(0, 80, (200, 2))], "src long, dst long")
+    config = RunConfig(protocols=("betweenness", "adap_betweenness"), n_attacks=2, btw_update=9)
+    work = robustness.combos(spark, ["betweenness", "adap_betweenness"], [], 2).cache()
+    orders = lambda: {(r.protocol, r.stochastic_id): r.nodes for r in robustness.simulate(edges, work, config).collect()}
+    want = orders()
+    dealt = []
+    real = robustness._sums_of_spans
+    monkeypatch.setattr(robustness, "_sums_of_spans", lambda spark, graphs: dealt.append([g.n for g in graphs]) or real(spark, graphs))
+    # rounds are dealt at first, some, or all: down to a graph without arcs
+    for most in (9_000, 0):
+        monkeypatch.setattr(robustness, "IN_ONE_CALL", most)
+        dealt.clear()
+        assert orders() == want
+        # the whole graph's sums are computed once, and so are those of what both have left
+        assert len(dealt[0]) == len(dealt[1]) == 1 and dealt[0][0] == dealt[1][0] + 9
