@@ -360,6 +360,24 @@ def test_kernels_take_a_mapped_graph(spark, net, monkeypatch):
     assert (runs(), found()) == before
 
 
+@pytest.mark.parametrize("in_memory", [0, 1_000_000])
+@pytest.mark.parametrize("n,links", [(3, 2), (60, 150), (700, 2500)])
+def test_louvain_of_the_jvm_is_the_kernels(spark, monkeypatch, n, links, in_memory):
+    rng = np.random.default_rng(n)
+    near = rng.integers(0, n, (links, 2))
+    near[: links // 2, 1] = (near[: links // 2, 0] + rng.integers(0, 9, links // 2)) % n
+    edges, nodes = spark.createDataFrame([(int(a) * 3 - 40, int(b) * 3 - 40) for a, b in near], "src long, dst long"), spark.createDataFrame([(99_999,)], "node long")
+    gather = robustness.gather_graph
+    g = gather(edges, nodes)
+    want = {s: dict(zip(g.nodes.tolist(), kernels.louvain(g, s).tolist(), strict=True)) for s in (0, 5)}
+    assert n == 3 or len(set(want[0].values())) < n / 5
+    monkeypatch.setattr(robustness, "gather_graph", lambda e, v=None: gather(e, v, in_memory=in_memory))
+    for s in want:
+        found = robustness.louvain(edges, nodes, s)
+        assert jvm.louvain(spark) in found._jdf.queryExecution().executedPlan().toString()
+        assert {r.node: r.community for r in found.collect()} == want[s]
+
+
 def test_a_mapped_graph_lies_in_the_shared_folder_once(spark, net, monkeypatch):
     from percola.session import shared_dir
 
