@@ -442,6 +442,32 @@ def test_cascades_by_rounds_are_the_kernels(spark, monkeypatch):
     assert found(scores=scores) == want
 
 
+@pytest.mark.parametrize("n,links", [(40, 45), (90, 200), (500, 3000)])
+def test_sums_without_sets_of_nodes_are_those_of_what_is_left(spark, n, links):
+    rng = np.random.default_rng(n)
+    # a path has nodes that nothing reaches once one goes
+    g = kernels.Csr.of(np.concatenate([rng.integers(0, n, (links, 2)), [[n + i, n + i + 1] for i in range(30)], [[0, n]]]), [n + 99])
+    gone = [np.array(x) for x in ([0], [g.n - 15], [3, 7, 9], rng.choice(g.n, g.n // 4, replace=False).tolist(), np.argsort(-g.degrees())[:5].tolist())]
+    whole = kernels.betweenness(g)
+    for places, change in zip(gone, robustness._loads(spark, [g], gone), strict=True):
+        rest, left = g.without(np.isin(np.arange(g.n), places))
+        assert (whole + change)[left] == pytest.approx(kernels.betweenness(rest), abs=1e-7)
+
+
+def test_cascades_that_lost_few_nodes_share_a_pass(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    edges = spark.createDataFrame([(int(a), int(b)) for a, b in rng.integers(0, 90, (150, 2))], "src long, dst long")
+    triggers = spark.createDataFrame([(v, "t") for v in sorted({x for r in edges.collect() for x in r})[:6]], "trigger_node long, trigger_type string")
+    found = lambda: sorted(map(tuple, robustness.cascades(edges, triggers, 0.1).collect()))
+    want = found()
+    assert len({r[2] for r in want}) > 1
+    monkeypatch.setattr(robustness, "IN_ONE_CALL", 0)
+    loads, passes = robustness._loads, []
+    monkeypatch.setattr(robustness, "_loads", lambda s, graphs, removed=None: passes.append(len(removed or ())) or loads(s, graphs, removed))
+    assert found() == want
+    assert passes[0] == 6
+
+
 @pytest.mark.parametrize("k", [None, 20])
 def test_adaptive_betweenness_of_the_jvm_is_the_kernels(spark, k):
     rng = np.random.default_rng(4)
