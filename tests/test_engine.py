@@ -425,6 +425,20 @@ def test_exact_betweenness_of_the_jvm_is_the_kernels(spark, n, links, monkeypatc
     assert [shares[v] for v in g.nodes.tolist()] == pytest.approx(want / pairs)
 
 
+@pytest.mark.parametrize("shared", [True, False])
+def test_exact_betweenness_of_a_mapped_graph_is_the_jvms(spark, net, monkeypatch, shared):
+    from percola.session import local_file
+
+    want = kernels.betweenness(robustness.gather_graph(net)) / 2
+    if not shared:
+        monkeypatch.setattr(robustness, "shared_file", lambda s, name: (local_file(name), False))
+    g = robustness.gather_graph(net, in_memory=0)
+    assert isinstance(g.to, np.memmap)
+    monkeypatch.setattr(kernels, "betweenness", None)
+    got = {r.node: r.betweenness for r in robustness.betweenness_of(spark, g).collect()}
+    assert [got[v] for v in g.nodes.tolist()] == pytest.approx(want)
+
+
 def test_cascades_by_rounds_are_the_kernels(spark, monkeypatch):
     rng = np.random.default_rng(11)
     rows = sorted({tuple(sorted(map(int, e))) for e in rng.integers(0, 90, (140, 2)) if e[0] != e[1]})
